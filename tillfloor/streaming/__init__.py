@@ -1,0 +1,5 @@
+"""No streaming operators: every source of this domain is a bounded table.
+
+The sales, batch, stop and inspection operators take any DataFrame, so a
+``foreachBatch`` sink can call them on a micro-batch unchanged.
+"""
