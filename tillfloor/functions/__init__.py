@@ -4,6 +4,9 @@ from tillfloor.functions.exprs import (  # noqa: F401
     exact_round,
     half_even,
     is_sunday,
+    money,
+    money_round,
+    money_sum,
     month_start,
     plus_minutes,
     ratio,

@@ -15,13 +15,40 @@ def exact_round(col: Column, digits: int) -> Column:
     return F.round(col.cast("decimal(28,8)"), digits).cast("double")
 
 
+_TICKS = 10_000
+
+
+def _ticks(amount: Column) -> Column:
+    return F.rint(amount * _TICKS).cast("bigint")
+
+
+def money(amount: Column) -> Column:
+    """An amount as the double nearest to its value at four decimals."""
+    return F.rint(amount * _TICKS) / _TICKS
+
+
+def money_sum(amount: Column) -> Column:
+    """Exact total, as a decimal, of amounts with at most four decimals.
+
+    Whole units and the rest are summed as integers: the result does not depend
+    on the order of the rows, no row touches decimal arithmetic, and neither
+    sum overflows below 9e18 units or 9e14 rows.
+    """
+    ticks = _ticks(amount)
+    rest = ticks % _TICKS
+    whole = F.call_function("div", ticks - rest, F.lit(_TICKS))
+    return F.sum(whole).cast("decimal(32,4)") + (
+        F.sum(rest).cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(4,4)")
+    )
+
+
 def money_round(col: Column, digits: int = 2) -> Column:
     """Round a decimal amount half up; the amount itself is exact."""
     return F.round(col, digits).cast("double")
 
 
 def half_even(col: Column, digits: int = 0) -> Column:
-    return F.bround(col, digits)
+    return F.bround(col, digits) if digits else F.rint(col)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

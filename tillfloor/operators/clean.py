@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
-from tillfloor.functions import day_name, month_start
+from tillfloor.functions import day_name, money, month_start
+
+
+def _strict(text: Column, kind: str) -> Column:
+    """NULL stays NULL; text that does not convert fails the job, in any ANSI mode."""
+    value = text.try_cast(kind)
+    error = F.raise_error(F.concat(F.lit(f"not a {kind}: "), text))
+    return F.when(text.isNotNull() & value.isNull(), error).otherwise(value)
 
 
 def parse_price(text: Column) -> Column:
-    """'0,90 €' to 0.90. NULL stays NULL; text that is no number fails the job."""
-    plain = F.trim(F.replace(F.replace(text, F.lit("€"), F.lit("")), F.lit(","), F.lit(".")))
-    number = plain.try_cast("decimal(12,2)")
-    bad = text.isNotNull() & number.isNull()
-    return F.when(bad, F.raise_error(F.concat(F.lit("not a price: "), text))).otherwise(number)
+    """'0,90 €' to 0.90."""
+    plain = F.replace(F.replace(text, F.lit("€"), F.lit("")), F.lit(","), F.lit("."))
+    return _strict(F.trim(plain), "double")
 
 
 def join_timestamp(date: Column, time: Column) -> Column:
-    return F.to_timestamp_ntz(F.concat_ws(" ", date, time), F.lit("yyyy-MM-dd HH:mm"))
+    return _strict(F.concat(date, F.lit(" "), time), "timestamp_ntz")
 
 
 def typed_lines(raw: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def clean_sales(raw: DataFrame) -> DataFrame:
         typed_lines(raw)
         .where(F.col("Quantity") > 0)
         .where(F.col("unit_price") > 0)
-        .withColumn("revenue", F.col("Quantity").cast("decimal(12,2)") * F.col("unit_price"))
+        .withColumn("revenue", money(F.col("Quantity") * F.col("unit_price")))
     )
 
 

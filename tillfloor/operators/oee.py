@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillfloor.functions import exact_round, global_ranks, ratio
-from tillfloor.functions.exprs import money_round
+from tillfloor.functions import (
+    exact_round,
+    global_ranks,
+    money,
+    money_round,
+    money_sum,
+    ratio,
+)
 from tillfloor.session import stage
 
 
@@ -18,7 +24,7 @@ def logged_stops(stops: DataFrame) -> DataFrame:
         stops.where("was_logged")
         .groupBy("batch_id")
         .agg(
-            F.sum("reported_duration_minutes").alias("logged_stop_minutes"),
+            exact_round(F.sum("reported_duration_minutes"), 6).alias("logged_stop_minutes"),
             F.count("*").alias("logged_stop_events"),
         )
     )
@@ -67,7 +73,7 @@ def batch_oee(
         ratio(earned, run).alias("performance"),
         ratio(good, total).alias("quality"),
         ratio(good_earned, planned).alias("oee"),
-        (scrap * F.col("unit_cost_eur")).alias("scrap_cost_eur"),
+        money(scrap * F.col("unit_cost_eur").cast("double")).alias("scrap_cost_eur"),
     )
 
 
@@ -82,7 +88,7 @@ def oee_daily(oee: DataFrame) -> DataFrame:
         F.sum("total_units").alias("total_units"),
         F.sum("good_units").alias("good_units"),
         F.sum("scrap_units").alias("scrap_units"),
-        money_round(F.sum("scrap_cost_eur")).alias("scrap_cost_eur"),
+        money_round(money_sum(F.col("scrap_cost_eur"))).alias("scrap_cost_eur"),
         exact_round(F.sum("planned_hours"), 2).alias("planned_hours"),
         exact_round(F.sum("run_hours"), 2).alias("run_hours"),
         exact_round(F.sum("logged_stop_hours"), 2).alias("logged_stop_hours"),
@@ -110,7 +116,8 @@ def mean_daily_oee(
 
 
 def scrap_by_product(oee: DataFrame) -> DataFrame:
-    cost, total, scrap = F.sum("scrap_cost_eur"), F.sum("total_units"), F.sum("scrap_units")
+    cost = money_sum(F.col("scrap_cost_eur"))
+    total, scrap = F.sum("total_units"), F.sum("scrap_units")
     return oee.groupBy("product_id", "product_name", "product_category", "machine_name").agg(
         F.count("*").alias("batches"),
         total.alias("total_units"),
@@ -127,7 +134,7 @@ def scrap_rank_gap(oee: DataFrame) -> DataFrame:
     products = stage(
         oee.groupBy("product_name").agg(
             exact_round(ratio(scrap, total), 8).alias("scrap_rate"),
-            money_round(F.sum("scrap_cost_eur")).alias("scrap_cost_eur"),
+            money_round(money_sum(F.col("scrap_cost_eur"))).alias("scrap_cost_eur"),
         )
     )
     ranked = global_ranks(products, {"rate_rank": "scrap_rate", "cost_rank": "scrap_cost_eur"})

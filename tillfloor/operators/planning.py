@@ -15,6 +15,7 @@ from tillfloor import params as P
 from tillfloor.functions import batch_key, exact_round, half_even, is_sunday, plus_minutes, ratio
 from tillfloor.functions.exprs import md5_fraction
 from tillfloor.functions.ordered import total_before
+from tillfloor.sources.inline import reason_table
 
 PARAMS = P.PARAMS
 
@@ -36,16 +37,16 @@ def minimum_lot(load: Column, machine_type: Column, assembled: Column) -> Column
     return F.when(assembled, F.lit(0.0)).otherwise(load / lots)
 
 
-def min_lot_carry(demand: DataFrame, products: DataFrame, machines: DataFrame) -> DataFrame:
+def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
     """Release the demand of a product when it reaches the minimum lot.
 
     Demand below the lot is carried to the product's next day with demand. A day
     that reaches the lot by itself always releases, whatever was carried, so it
     ends a section of the series. Sections are independent: the fold with reset
-    runs within each one, in parallel also for a single product.
+    runs within each one, in parallel also for a single product. `routed` is the
+    product master with its machine types (`product.routed_products`).
     """
-    types = machines.select("machine_id", "machine_type")
-    lots = products.join(F.broadcast(types), "machine_id").select(
+    lots = routed.select(
         "product_name",
         F.coalesce(
             minimum_lot(
@@ -310,12 +311,6 @@ def inspection_sample(batches: DataFrame, rate: float = PARAMS.inspection_rate)
     )
 
 
-def reason_table(spark) -> DataFrame:
-    return spark.createDataFrame(
-        list(P.REASON_LABELS.items()), "reason_code STRING, reason_label STRING"
-    )
-
-
 def label_reasons(stops: DataFrame, code: str, label: str) -> DataFrame:
     """Look a reason label up in the inline code table; unknown codes get NULL."""
     codes = reason_table(stops.sparkSession).select(

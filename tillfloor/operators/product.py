@@ -6,34 +6,17 @@ the bound that the windows and broadcasts below rely on.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
 from tillfloor import schemas
-from tillfloor.functions import exact_round, ratio
-from tillfloor.functions.exprs import money_round
+from tillfloor.functions import exact_round, money_sum, ratio
 from tillfloor.session import stage
 
 
-def machine_table(spark: SparkSession, rows: Iterable[tuple] = P.MACHINES) -> DataFrame:
-    return spark.createDataFrame(list(rows), schemas.DIM_MACHINE)
-
-
-def standards_table(
-    spark: SparkSession, rows: Iterable[tuple] = P.OPERATING_STANDARDS
-) -> DataFrame:
-    return spark.createDataFrame(list(rows), schemas.STANDARDS)
-
-
-def category_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
-    return spark.createDataFrame(
-        list(rows), "product_name STRING, product_category STRING, process_type STRING"
-    )
-
-
 def price_counts(sales: DataFrame) -> DataFrame:
     """Lines and units by product and price: one pass serves units and prices.
 
@@ -67,7 +50,7 @@ def coverage(sales: DataFrame, kept: DataFrame) -> DataFrame:
     """Share of all units and revenue that the kept products cover."""
     flags = kept.select(F.col("product_name").alias("product"), F.lit(True).alias("kept"))
     totals = sales.groupBy("product").agg(
-        F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue")
+        F.sum("quantity").alias("units"), money_sum(F.col("revenue")).alias("revenue")
     )
     covered = totals.join(F.broadcast(flags), "product", "left")
     return covered.agg(
@@ -114,9 +97,9 @@ def price_audit(sales: DataFrame, names: Sequence[str] | None = None) -> DataFra
             F.sum("lines").alias("times_sold"),
             F.sum("units").alias("units"),
             F.count("unit_price").alias("distinct_prices"),
-            low.cast("double").alias("min_price"),
-            high.cast("double").alias("max_price"),
-            money_round(high - low).alias("price_spread"),
+            low.alias("min_price"),
+            high.alias("max_price"),
+            exact_round(high - low, 2).alias("price_spread"),
         )
         .orderBy("distinct_prices", "price_spread", "product")
     )
@@ -130,7 +113,7 @@ def median_prices(counts: DataFrame) -> DataFrame:
     """
     priced = counts.where(F.col("unit_price") > 0)
     return priced.groupBy(F.col("product").alias("product_name")).agg(
-        exact_round(F.percentile(F.col("unit_price").cast("double"), 0.5, F.col("lines")), 4)
+        exact_round(F.percentile("unit_price", 0.5, F.col("lines")), 4)
         .alias("median_unit_price_eur")
     )
 
@@ -166,6 +149,17 @@ def ideal_rates(standards: DataFrame, machines: DataFrame) -> DataFrame:
     ).withColumn("ideal_units_per_hr", exact_round(rate, 2))
 
 
+def routed_products(
+    products: DataFrame, standards: DataFrame, machines: DataFrame
+) -> DataFrame:
+    """Products with machine, load size and ideal rate: all that planning reads."""
+    rates = ideal_rates(standards, machines).select(
+        "product_name", "machine_id", "machine_type", "units_per_full_load", "bake_minutes",
+        "ideal_units_per_hr",
+    )
+    return products.join(rates, "product_name", "left")
+
+
 def apply_standards(
     products: DataFrame, standards: DataFrame, medians: DataFrame, machines: DataFrame
 ) -> DataFrame:

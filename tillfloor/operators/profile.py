@@ -40,9 +40,10 @@ def value_range(
     df: DataFrame, date: str, name: str, quantity: Column, zero_price: Column
 ) -> DataFrame:
     """Date range, distinct names, negative quantities and zero prices."""
+    day = F.col(date).try_cast("date")
     by_name = df.groupBy(name).agg(
-        F.min(date).alias("first"),
-        F.max(date).alias("last"),
+        F.min(day).alias("first"),
+        F.max(day).alias("last"),
         F.count_if(quantity < 0).alias("negative"),
         F.count_if(zero_price).alias("free"),
     )

@@ -1,7 +1,7 @@
 """Sales KPIs over lines of (ticket_number, product, quantity, unit_price, revenue, sale_date,
 sale_ts).
 
-Money is decimal, so its sums are exact and do not depend on the partitioning.
+Money is summed exactly (`money_sum`), whatever the partitioning.
 Figures by weekday, month or trading day start from daily totals: one shuffle of
 at most a row for each date and task, however many lines one date holds.
 """
@@ -16,25 +16,28 @@ from tillfloor.functions import (
     day_name,
     exact_round,
     global_ranks,
+    money,
+    money_round,
+    money_sum,
     month_start,
     ratio,
 )
-from tillfloor.functions.exprs import money_round
 from tillfloor.functions.ordered import running_share
 from tillfloor.session import stage
+from tillfloor.sources.inline import weekday_table
 
 
 def by_product(sales: DataFrame) -> DataFrame:
     return sales.groupBy("product").agg(
         F.sum("quantity").alias("units"),
-        F.sum("revenue").alias("revenue"),
+        money_sum(F.col("revenue")).alias("revenue"),
         F.count("*").alias("lines"),
     )
 
 
 def by_day(sales: DataFrame) -> DataFrame:
     return sales.groupBy("sale_date").agg(
-        F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue")
+        F.sum("quantity").alias("units"), money_sum(F.col("revenue")).alias("revenue")
     )
 
 
@@ -68,8 +71,7 @@ def weekday_performance(sales: DataFrame) -> DataFrame:
         open_days.alias("days_open"),
         F.sum("units").alias("total_units"),
         money_round(total).alias("total_revenue"),
-        money_round(F.try_divide(total, open_days.cast("decimal(20,0)")))
-        .alias("avg_revenue_per_open_day"),
+        exact_round(ratio(total, open_days), 2).alias("avg_revenue_per_open_day"),
     )
 
 
@@ -90,7 +92,7 @@ def hourly(sales: DataFrame) -> DataFrame:
         sales.groupBy(F.hour("sale_ts").alias("sale_hour"))
         .agg(
             F.sum("quantity").alias("total_units"),
-            money_round(F.sum("revenue")).alias("total_revenue"),
+            money_round(money_sum(F.col("revenue"))).alias("total_revenue"),
         )
         .orderBy("sale_hour")
     )
@@ -102,12 +104,13 @@ def ticket_averages(sales: DataFrame) -> DataFrame:
         sales.where(F.col("ticket_number").isNotNull())
         .groupBy("ticket_number")
         .agg(F.sum("quantity").alias("items"), F.sum("revenue").alias("amount"))
+        .withColumn("amount", money(F.col("amount")))
     )
     n = F.count("*")
     return tickets.agg(
         n.alias("tickets"),
         exact_round(ratio(F.sum("items"), n), 2).alias("avg_items"),
-        money_round(F.try_divide(F.sum("amount"), n.cast("decimal(20,0)"))).alias("avg_value"),
+        exact_round(ratio(money_sum(F.col("amount")), n), 2).alias("avg_value"),
     )
 
 
@@ -134,20 +137,13 @@ def rank_units_and_revenue(sales: DataFrame) -> DataFrame:
     )
 
 
-def weekdays(spark) -> DataFrame:
-    """The seven weekdays in order, as an inline table."""
-    return spark.createDataFrame(
-        list(enumerate(P.WEEKDAYS, start=1)), "weekday_no INT, day_of_week STRING"
-    )
-
-
 def weekday_revenue(sales: DataFrame) -> DataFrame:
     """Revenue from Monday to Sunday; a weekday without sales has NULL."""
     days = by_day(sales).withColumn("day_of_week", day_name(F.col("sale_date")))
     revenue = days.groupBy("day_of_week").agg(
         money_round(F.sum("revenue")).alias("total_revenue")
     )
-    return weekdays(sales.sparkSession).join(revenue, "day_of_week", "left").select(
+    return weekday_table(sales.sparkSession).join(revenue, "day_of_week", "left").select(
         "weekday_no", "day_of_week", "total_revenue"
     )
 
@@ -158,7 +154,7 @@ def weekday_presence(sales: DataFrame) -> DataFrame:
     counted = dates.groupBy(day_name(F.col("sale_date")).alias("day_of_week")).agg(
         F.count("*").alias("days_present")
     )
-    return weekdays(sales.sparkSession).join(counted, "day_of_week", "left").select(
+    return weekday_table(sales.sparkSession).join(counted, "day_of_week", "left").select(
         "weekday_no", "day_of_week", "days_present"
     )
 
@@ -167,7 +163,7 @@ def top_months(sales: DataFrame, rows: int = 6) -> DataFrame:
     months = (
         sales.where(F.col("sale_date").isNotNull())
         .groupBy(month_start(F.col("sale_date")).alias("sale_month"))
-        .agg(F.sum("revenue").alias("revenue"))
+        .agg(money_sum(F.col("revenue")).alias("revenue"))
     )
     return months.orderBy(F.desc("revenue"), "sale_month").limit(rows).select(
         "sale_month", money_round(F.col("revenue")).alias("total_revenue")
@@ -189,7 +185,7 @@ def month_open_day_average(sales: DataFrame, rows: int = 6) -> DataFrame:
     months = days.groupBy(month_start(F.col("sale_date")).alias("sale_month")).agg(
         F.sum("revenue").alias("revenue"), F.count("*").alias("days")
     )
-    average = F.try_divide(F.col("revenue"), F.col("days").cast("decimal(20,0)"))
+    average = ratio(F.col("revenue"), F.col("days"))
     return (
         months.withColumn("average", average)
         .orderBy(F.desc("average"), "sale_month")
@@ -198,7 +194,7 @@ def month_open_day_average(sales: DataFrame, rows: int = 6) -> DataFrame:
             "sale_month",
             money_round(F.col("revenue")).alias("total_revenue"),
             "days",
-            money_round(F.col("average")).alias("avg_per_day"),
+            exact_round(F.col("average"), 2).alias("avg_per_day"),
         )
     )
 
@@ -281,7 +277,7 @@ def dashboard_daily(sales: DataFrame) -> DataFrame:
     grouped = (
         sales.where(F.col("product").isNotNull() & F.col("sale_date").isNotNull())
         .groupBy("sale_date", "product")
-        .agg(F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue"))
+        .agg(F.sum("quantity").alias("units"), money_sum(F.col("revenue")).alias("revenue"))
     )
     return grouped.select(
         "sale_date",

@@ -21,6 +21,7 @@ from tillfloor.operators import (
 )
 from tillfloor.plans import star as S
 from tillfloor.sources import tables
+from tillfloor.sources.inline import category_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +71,24 @@ def _rated_batches(star: S.Star) -> DataFrame:
     )
 
 
+def _mean_daily(star: S.Star) -> DataFrame:
+    batches = star.stored_batches
+    daily = oee.oee_daily(oee.batch_oee(batches, star.products, star.machines, star.stops))
+    return oee.mean_daily_oee(daily, batches, star.stops, planning.inspection_sample(batches))
+
+
+def _data_checks(star: S.Star) -> DataFrame:
+    batches = star.stored_batches
+    return checks.data_checks(
+        batches,
+        star.stops,
+        planning.inspection_sample(batches),
+        star.products,
+        oee.batch_oee(batches, star.products, star.machines, star.stops),
+        star.plant,
+    )
+
+
 def _catalog(star: S.Star) -> DataFrame:
     S.register_views(star.tables())
     return checks.star_schema(
@@ -126,7 +145,7 @@ for _name, _build in {
     "coverage_share": lambda s: product.coverage(s.product_sales, s.kept),
     "classify_products": lambda s: product.classify(s.kept, tables.CATEGORY_NAMES),
     "category_join": lambda s: product.join_categories(
-        s.kept, product.category_table(s.spark, tables.LISTED_CATEGORIES)
+        s.kept, category_table(s.spark, tables.LISTED_CATEGORIES)
     ),
     "price_audit": lambda s: product.price_audit(s.product_sales),
     "median_price": lambda s: product.median_prices(product.price_counts(s.product_sales)),
@@ -143,12 +162,10 @@ for _name, _build in {
     "logged_stops": lambda s: oee.logged_stops(s.stops),
     "batch_oee": lambda s: s.batch_oee,
     "oee_daily": lambda s: s.oee_daily,
-    "oee_mean_daily": lambda s: oee.mean_daily_oee(
-        s.oee_daily, s.batches, s.stops, s.inspections
-    ),
+    "oee_mean_daily": _mean_daily,
     "scrap_by_product": lambda s: oee.scrap_by_product(s.batch_oee),
     "scrap_rank_gap": lambda s: oee.scrap_rank_gap(s.batch_oee),
-    "deck_load_hours": lambda s: oee.machine_hours(s.demand, s.dim_product),
+    "deck_load_hours": lambda s: oee.machine_hours(s.demand, s.routed),
     # downtime
     "downtime_pareto": lambda s: downtime.downtime_pareto(s.stops, s.machines),
     "pareto_cumulative": lambda s: downtime.pareto_cumulative(s.stops, s.machines),
@@ -206,9 +223,7 @@ for _name, _build in {
     ),
     # checks
     "checks_identity": lambda s: checks.identity_checks(s.batch_oee, s.oee_daily),
-    "checks_data": lambda s: checks.data_checks(
-        s.batches, s.stops, s.inspections, s.products, s.batch_oee, s.plant
-    ),
+    "checks_data": _data_checks,
     "checks_contract": lambda s: checks.contract_checks(s.stops),
     "checks_dimension": lambda s: checks.dimension_checks(s.dim_product, s.machines),
     "catalog_tables": _catalog,

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillfloor.operators import downtime, oee, planning, product, sales
 from tillfloor.schemas import STAR_TABLES
+from tillfloor.session import stage
 from tillfloor.sources import tables as T
+from tillfloor.sources.inline import machine_table, standards_table
 
 
 @dataclass
@@ -21,11 +23,11 @@ class Star:
 
     @cached_property
     def machines(self) -> DataFrame:
-        return product.machine_table(self.spark)
+        return machine_table(self.spark)
 
     @cached_property
     def standards(self) -> DataFrame:
-        return product.standards_table(self.spark, T.STANDARDS)
+        return standards_table(self.spark, T.STANDARDS)
 
     @cached_property
     def sales(self) -> DataFrame:
@@ -49,9 +51,20 @@ class Star:
             self.product_sales, self.standards, self.machines, T.EXCLUDED, T.CATEGORY_NAMES
         )
 
+    @cached_property
+    def routed(self) -> DataFrame:
+        """The product master without its costs, staged: planning reads it repeatedly."""
+        named = product.classify(self.kept, T.CATEGORY_NAMES)
+        return stage(product.routed_products(named, self.standards, self.machines))
+
+    @cached_property
+    def lines_by_date(self) -> DataFrame:
+        """Lines with product and date, without the price."""
+        return self.sales.select("product", "sale_date", "quantity")
+
     @cached_property
     def demand(self) -> DataFrame:
-        return sales.daily_demand(self.sales, self.dim_product)
+        return sales.daily_demand(self.lines_by_date, self.routed)
 
     @cached_property
     def plant(self) -> DataFrame:
@@ -59,11 +72,11 @@ class Star:
 
     @cached_property
     def lots(self) -> DataFrame:
-        return planning.min_lot_carry(self.plant, self.dim_product, self.machines)
+        return planning.min_lot_carry(self.plant, self.routed)
 
     @cached_property
     def plan(self) -> DataFrame:
-        return planning.batch_plan(self.lots, self.dim_product)
+        return planning.batch_plan(self.lots, self.routed)
 
     @cached_property
     def dispatched(self) -> DataFrame:
@@ -77,6 +90,11 @@ class Star:
     def batches(self) -> DataFrame:
         return T.batches(self.spark, self.data)
 
+    @cached_property
+    def stored_batches(self) -> DataFrame:
+        """The batch fact, staged for queries that read it more than once."""
+        return stage(self.batches)
+
     @cached_property
     def stops(self) -> DataFrame:
         return T.stops(self.spark, self.data)
@@ -97,9 +115,9 @@ class Star:
         return {
             "dim_product": self.dim_product,
             "dim_machine": self.machines,
-            "fact_production_batch": self.batches,
+            "fact_production_batch": self.stored_batches,
             "fact_downtime": self.stops,
-            "fact_quality_inspection": self.inspections,
+            "fact_quality_inspection": planning.inspection_sample(self.stored_batches),
         }
 
 

@@ -19,7 +19,7 @@ RAW_SALES = _struct(**{
 
 CLEAN_SALES = _struct(
     date=TEXT, time=TEXT, datetime=TIME, ticket_number=LONG, article=TEXT, Quantity=REAL,
-    unit_price=T.DecimalType(12, 2), revenue=T.DecimalType(24, 4),
+    unit_price=REAL, revenue=REAL,
 )
 
 DIM_PRODUCT = _struct(
@@ -39,6 +39,12 @@ STANDARDS = _struct(
     assembly_seconds=REAL,
 )
 
+CATEGORIES = _struct(product_name=TEXT, product_category=TEXT, process_type=TEXT)
+
+WEEKDAYS = _struct(weekday_no=INT, day_of_week=TEXT)
+
+REASONS = _struct(reason_code=TEXT, reason_label=TEXT)
+
 FACT_BATCH = _struct(
     batch_id=TEXT, production_date=DATE, product_id=INT, machine_id=INT, planned_units=INT,
     loads_used=REAL, scheduled_start_ts=TIME, scheduled_end_ts=TIME,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
-from tillfloor.functions import half_even, is_sunday, plus_minutes
+from tillfloor.functions import half_even, is_sunday, money, plus_minutes
 
 # Product names are an adjective and a noun; the noun gives the category.
 ADJECTIVES = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
@@ -53,57 +53,71 @@ def table(spark: SparkSession, data: str, name: str) -> DataFrame:
 
 
 def _price(retail: Column) -> Column:
-    return retail.cast("decimal(12,2)")
+    return F.rint(retail * 100) / 100
 
 
 def sales_lines(
     spark: SparkSession, data: str, product: bool = True, date: bool = True
 ) -> DataFrame:
-    """Clean sales lines. `product` and `date` say which attributes are needed."""
+    """Clean sales lines. `product` and `date` say which attributes are needed.
+
+    Attributes are derived on the small side of each join, once for each part
+    and order, not for each line.
+    """
     lines = table(spark, data, "lineitem")
     columns = [F.col("l_orderkey").alias("ticket_number"), F.col("l_quantity").alias("quantity")]
     if product:
-        part = table(spark, data, "part").select("p_partkey", "p_name", "p_retailprice")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-        columns += [
+        part = table(spark, data, "part").select(
+            "p_partkey",
             F.col("p_name").alias("product"),
             _price(F.col("p_retailprice")).alias("unit_price"),
-            (F.col("l_quantity").cast("decimal(12,2)") * _price(F.col("p_retailprice")))
-            .alias("revenue"),
+        )
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        columns += [
+            F.col("product"),
+            F.col("unit_price"),
+            money(F.col("l_quantity") * F.col("unit_price")).alias("revenue"),
         ]
     if date:
-        orders = table(spark, data, "orders").select("o_orderkey", "o_orderdate")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        hours = (F.lit(6) + F.col("l_orderkey") % 14).cast("int")
-        columns += [
+        hours = (F.lit(6) + F.col("o_orderkey") % 14).cast("int")
+        orders = table(spark, data, "orders").select(
+            "o_orderkey",
             F.to_date("o_orderdate").alias("sale_date"),
             (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hours)).alias("sale_ts"),
-        ]
+        )
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        columns += [F.col("sale_date"), F.col("sale_ts")]
     return lines.select(*columns)
 
 
 def raw_sales_lines(spark: SparkSession, data: str) -> DataFrame:
     """The same lines as a till export: text price and date, returns, free items."""
-    part = table(spark, data, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    orders = table(spark, data, "orders").select("o_orderkey", "o_orderdate")
-    price = F.when(F.col("p_size") == 1, F.lit(0).cast("decimal(12,2)")).otherwise(
-        _price(F.col("p_retailprice"))
+    price = F.when(F.col("p_size") == 1, F.lit(0.0)).otherwise(_price(F.col("p_retailprice")))
+    digits = F.replace(price.cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))
+    part = table(spark, data, "part").select(
+        "p_partkey",
+        F.col("p_name").alias("article"),
+        F.concat(digits, F.lit(" €")).alias("unit_price"),
+    )
+    hour = (F.lit(6) + F.col("o_orderkey") % 14).cast("string")
+    orders = table(spark, data, "orders").select(
+        "o_orderkey",
+        F.to_date("o_orderdate").cast("string").alias("date"),
+        F.concat(F.lpad(hour, 2, "0"), F.lit(":00")).alias("time"),
     )
     returned = F.col("l_returnflag") == "R"
-    hour = (F.lit(6) + F.col("l_orderkey") % 14).cast("string")
     return (
         table(spark, data, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .select(
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-            F.concat(F.lpad(hour, 2, "0"), F.lit(":00")).alias("time"),
+            "date",
+            "time",
             F.col("l_orderkey").cast("double").alias("ticket_number"),
-            F.col("p_name").alias("article"),
+            "article",
             F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
             .alias("Quantity"),
-            F.concat(F.replace(price.cast("string"), F.lit("."), F.lit(",")), F.lit(" €"))
-            .alias("unit_price"),
+            "unit_price",
         )
     )
 
@@ -135,7 +149,7 @@ def products(spark: SparkSession, data: str) -> DataFrame:
             F.col("p_name").alias("product_name"),
             "product_category",
             machines[F.col("product_category")].alias("machine_id"),
-            F.round(_price(F.col("p_retailprice")) * ratios[F.col("product_category")], 2)
+            F.round(_price(F.col("p_retailprice")).cast("decimal(12,2)") * ratios[F.col("product_category")], 2)
             .cast("decimal(8,2)").alias("unit_cost_eur"),
             (F.lit(30) + F.col("p_size") * 10).cast("double").alias("ideal_units_per_hr"),
         )
