@@ -3,13 +3,12 @@
 A window with no partition keys, or with one very large group, sorts all its
 rows in one task. Here rows are first cut into slices that follow the order:
 each slice is summed, the few slice sums are accumulated, and the window runs
-inside a slice only. The result is the same as that of the single window.
+inside a slice. The result is the same as that of the single window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,23 +39,20 @@ def total_before(
     sliced = df.withColumn("_slice", slice_key)
     sums = sliced.groupBy(*keys).agg(F.sum(value).alias("_slice_sum"))
     earlier_slices = Window.partitionBy(*within).orderBy("_slice").rowsBetween(*_EARLIER)
-    offsets = sums.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
-        F.sum("_slice_sum").over(earlier_slices).alias("_offset"),
+    # A head row carries the total of the earlier slices into its slice, so the
+    # rows themselves are shuffled once, for the window, and not for a join.
+    heads = sums.select(
+        *keys,
+        F.lit(0).alias("_row"),
+        F.coalesce(F.sum("_slice_sum").over(earlier_slices), F.lit(0)).alias("_add"),
     )
-    same_slice = reduce(
-        lambda a, b: a & b, [sliced[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys]
-    )
-    earlier_rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_EARLIER)
-    zero = F.lit(0)
+    rows = sliced.withColumns({"_row": F.lit(1), "_add": F.col(value)})
+    earlier_rows = Window.partitionBy(*keys).orderBy("_row", *order).rowsBetween(*_EARLIER)
     return (
-        sliced.join(offsets, same_slice, "left")
-        .withColumn(
-            out,
-            F.coalesce(F.col("_offset"), zero)
-            + F.coalesce(F.sum(value).over(earlier_rows), zero),
-        )
-        .drop("_slice", "_offset", *[f"_o_{k}" for k in keys])
+        rows.unionByName(heads, allowMissingColumns=True)
+        .withColumn(out, F.sum("_add").over(earlier_rows))
+        .where(F.col("_row") == 1)
+        .drop("_slice", "_row", "_add")
     )
 
 

@@ -37,7 +37,9 @@ def batch_oee(
 
     Stops are summed to batches before the join, so it is one to one and a batch
     with very many stops is combined map-side. The machine table is an inline
-    one; the product table may be large, so its join carries no hint.
+    one. The product table may be large, so its join carries no hint, and it
+    follows the join by batch so that its shuffle is its own and can be split
+    where one product has a large part of all batches.
     """
     good, scrap = F.col("good_units"), F.col("scrap_units")
     total = good + scrap
@@ -45,10 +47,13 @@ def batch_oee(
     planned = F.col("planned_production_minutes") / 60.0
     run = F.col("run_time_minutes") / 60.0
     earned, good_earned = ratio(total, rate), ratio(good, rate)
+    attributes = products.select(
+        "product_id", "product_name", "product_category", "unit_cost_eur", "ideal_units_per_hr"
+    )
     joined = (
-        batches.join(products.drop("machine_id"), "product_id")
+        batches.join(logged_stops(stops), "batch_id", "left")
+        .join(attributes, "product_id")
         .join(F.broadcast(machines.select("machine_id", "machine_name")), "machine_id")
-        .join(logged_stops(stops), "batch_id", "left")
     )
     return joined.select(
         "batch_id",

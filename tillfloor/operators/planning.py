@@ -15,6 +15,7 @@ from tillfloor import params as P
 from tillfloor.functions import batch_key, exact_round, half_even, is_sunday, plus_minutes, ratio
 from tillfloor.functions.exprs import md5_fraction
 from tillfloor.functions.ordered import total_before
+from tillfloor.session import stage
 from tillfloor.sources.inline import reason_table
 
 PARAMS = P.PARAMS
@@ -42,9 +43,9 @@ def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
 
     Demand below the lot is carried to the product's next day with demand. A day
     that reaches the lot by itself always releases, whatever was carried, so it
-    ends a section of the series. Sections are independent: the fold with reset
-    runs within each one, in parallel also for a single product. `routed` is the
-    product master with its machine types (`product.routed_products`).
+    ends a section of the series. Sections are independent, and the fold with
+    reset runs within each: its arrays hold a few days, not the whole calendar.
+    `routed` is the product master with machine types (`product.routed_products`).
     """
     lots = routed.select(
         "product_name",
@@ -176,11 +177,12 @@ def stop_cap(stops: DataFrame, batches: DataFrame) -> DataFrame:
     """Scale a batch's stops down where they exceed the capped planned time.
 
     The factor is found at batch grain and joined back, so a batch with very
-    many stops is never one window partition.
+    many stops is never one window partition. The factors are staged: the join
+    then sees their size and may broadcast them, or split a skewed batch.
     """
     planned = batches.select("batch_id", "planned_production_minutes")
     cap = F.col("planned_production_minutes") * PARAMS.stop_cap
-    factors = (
+    factors = stage(
         batch_stop_totals(stops)
         .join(planned, "batch_id")
         .where(F.col("stop_minutes") > cap)
@@ -219,17 +221,25 @@ def stop_intervals(
 
 def run_time(
     batches: DataFrame,
-    capped_stops: DataFrame,
+    stops: DataFrame,
     products: DataFrame,
     achieved_rate: float = PARAMS.achieved_rate,
 ) -> DataFrame:
-    """Run minutes are planned minus stopped; output is floored, never rounded up."""
-    stopped = capped_stops.groupBy("batch_id").agg(F.sum("capped_minutes").alias("stopped"))
-    rates = products.select("product_id", "product_name", "product_category", "ideal_units_per_hr")
-    run = F.col("planned_production_minutes") - F.coalesce(F.col("stopped"), F.lit(0.0))
+    """Run minutes are planned minus stopped; output is floored, never rounded up.
+
+    Capped stops add up to the capped total, so batch totals are enough here.
+    """
+    totals = batch_stop_totals(stops).select("batch_id", "stop_minutes")
+    rates = products.select("product_id", "ideal_units_per_hr")
+    planned = F.col("planned_production_minutes")
+    stopped = F.when(
+        F.col("stop_minutes").isNotNull(),
+        F.least(F.col("stop_minutes"), planned * PARAMS.stop_cap),
+    ).otherwise(0.0)
+    run = planned - stopped
     made = F.col("run_minutes") / 60.0 * F.col("ideal_units_per_hr") * achieved_rate
     return (
-        batches.join(stopped, "batch_id", "left")
+        batches.join(totals, "batch_id", "left")
         .join(rates, "product_id")
         .withColumn("run_minutes", exact_round(run, 6))
         .withColumn("total_units", F.floor(F.round(made, 6)).cast("int"))
@@ -269,9 +279,13 @@ def round_durations(stops: DataFrame) -> DataFrame:
 
 
 def scrap_with_stops(
-    batches: DataFrame, stops: DataFrame, base_rate: str = "base_rate"
+    batches: DataFrame, stops: DataFrame, products: DataFrame, base_rate: str = "base_rate"
 ) -> DataFrame:
-    """Scrap rises with every stop long enough to cool the oven, up to a cap."""
+    """Scrap rises with every stop long enough to cool the oven, up to a cap.
+
+    `batches` brings `total_units` and its scrap rate without stops, `base_rate`.
+    """
+    categories = products.select("product_id", "product_category")
     factor: Column = F.lit(1.0)
     for label, value in PARAMS.scrap_multiplier.items():
         factor = F.when(F.col("product_category") == label, F.lit(value)).otherwise(factor)
@@ -279,6 +293,7 @@ def scrap_with_stops(
     raised = F.col(base_rate) * factor + F.col("long_stops") * PARAMS.scrap_per_stop
     return (
         batches.join(long_stops, "batch_id", "left")
+        .join(categories, "product_id")
         .withColumn("long_stops", F.coalesce(F.col("long_stops"), F.lit(0)))
         .withColumn("scrap_rate", exact_round(F.least(raised, F.lit(PARAMS.scrap_cap)), 8))
         .withColumn(

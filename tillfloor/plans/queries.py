@@ -55,16 +55,11 @@ def _dates(star: S.Star) -> DataFrame:
     return tables.sales_lines(star.spark, star.data, product=False)
 
 
-def _priced_stops(star: S.Star) -> DataFrame:
-    return planning.stop_cap(star.stops, star.batches)
-
-
 def _rated_batches(star: S.Star) -> DataFrame:
     total = F.col("good_units") + F.col("scrap_units")
-    categories = star.products.select("product_id", "product_category")
-    return star.batches.join(categories, "product_id").select(
+    return star.batches.select(
         "batch_id",
-        "product_category",
+        "product_id",
         total.alias("total_units"),
         F.try_divide(F.col("scrap_units").cast("double"), total.cast("double"))
         .alias("base_rate"),
@@ -199,21 +194,21 @@ for _name, _build in {
         "product_name", "production_date", "seq", "batch_id", "inspection_id",
         planning.stop_key(F.col("batch_id"), F.lit(0)).alias("first_stop_id"),
     ),
-    "stop_cap": lambda s: _priced_stops(s).select(
+    "stop_cap": lambda s: planning.stop_cap(s.stops, s.batches).select(
         "downtime_id", "batch_id", "duration_minutes",
         exact_round(F.col("capped_minutes"), 6).alias("capped_minutes"),
     ),
     "stop_intervals": lambda s: planning.stop_intervals(s.stops, s.batches).select(
         "downtime_id", "batch_id", "laid_start_ts", "laid_end_ts"
     ),
-    "run_time": lambda s: planning.run_time(s.batches, _priced_stops(s), s.products).select(
+    "run_time": lambda s: planning.run_time(s.batches, s.stops, s.products).select(
         "batch_id", "run_minutes", "total_units"
     ),
     "stop_bands": lambda s: planning.stop_bands(s.stops),
     "round_durations": lambda s: planning.round_durations(s.stops).select(
         "downtime_id", "duration_minutes", "rounded_minutes"
     ),
-    "scrap_costop": lambda s: planning.scrap_with_stops(_rated_batches(s), s.stops).select(
+    "scrap_costop": lambda s: planning.scrap_with_stops(_rated_batches(s), s.stops, s.products).select(
         "batch_id", "long_stops", "scrap_rate", "scrap_units", "good_units"
     ),
     "inspection_sample": lambda s: s.inspections.drop("inspection_ts"),
