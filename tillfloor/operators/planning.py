@@ -20,6 +20,10 @@ from tillfloor.sources.inline import reason_table
 
 PARAMS = P.PARAMS
 
+# Independent sections of a carry series that one fold takes together: enough
+# to keep the groups few, and few enough to keep their arrays short.
+SECTIONS_IN_A_FOLD = 32
+
 
 def plant_demand(demand: DataFrame, factor: int = PARAMS.outlet_factor) -> DataFrame:
     """Scale demand to the plant and bake Sunday's on the Saturday before."""
@@ -44,7 +48,7 @@ def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
     Demand below the lot is carried to the product's next day with demand. A day
     that reaches the lot by itself always releases, whatever was carried, so it
     ends a section of the series. Sections are independent, and the fold with
-    reset runs within each: its arrays hold a few days, not the whole calendar.
+    reset takes a few at a time: its arrays hold some days, not the calendar.
     `routed` is the product master with machine types (`product.routed_products`).
     """
     lots = routed.select(
@@ -66,9 +70,9 @@ def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
         Window.partitionBy("product_name").orderBy("production_date")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    ended = F.coalesce(F.sum(enough(F.col("units")).cast("int")).over(earlier), F.lit(0))
     sections = demand.join(F.broadcast(lots), "product_name").withColumn(
-        "section",
-        F.coalesce(F.sum(enough(F.col("units")).cast("int")).over(earlier), F.lit(0)),
+        "section", F.floor(ended / SECTIONS_IN_A_FOLD)
     )
     days = F.array_sort(F.collect_list(F.struct("production_date", "units")))
     state = F.struct(

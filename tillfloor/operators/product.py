@@ -187,7 +187,7 @@ def dim_product(
     excluded: Sequence[str] = P.EXCLUDED_PRODUCTS,
     category_names: Mapping[str, Sequence[str]] = P.CATEGORY_PRODUCTS,
 ) -> DataFrame:
-    """The whole product master, staged: at most `top_products` rows."""
+    """The whole product master: at most `top_products` rows."""
     from tillfloor.sources.sinks import add_missing_columns
 
     counts = stage(price_counts(sales))
@@ -198,7 +198,7 @@ def dim_product(
     wanted = counts.join(
         F.broadcast(kept.select(F.col("product_name").alias("product"))), "product", "left_semi"
     )
-    return stage(apply_standards(bare, standards, median_prices(wanted), machines))
+    return apply_standards(bare, standards, median_prices(wanted), machines)
 
 
 def product_review(products: DataFrame, machines: DataFrame) -> DataFrame:

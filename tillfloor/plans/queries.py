@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillfloor.functions import exact_round
 from tillfloor.operators import (
@@ -28,20 +27,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that every client compares the same type."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`")
-            for f in df.schema
-        ]
-    )
+def _cost_as_double(df: DataFrame) -> DataFrame:
+    """The unit cost as a double, a type that every client compares alike."""
+    return df.withColumn("unit_cost_eur", F.col("unit_cost_eur").cast("double"))
 
 
 def _register(name: str, build: Callable[[S.Star], DataFrame]) -> None:
     def run(spark: SparkSession, data: str) -> DataFrame:
-        return _plain(build(S.Star(spark, data)))
+        return build(S.Star(spark, data))
 
     run.__name__ = name
     QUERIES[name] = run
@@ -144,15 +137,17 @@ for _name, _build in {
     ),
     "price_audit": lambda s: product.price_audit(s.product_sales),
     "median_price": lambda s: product.median_prices(product.price_counts(s.product_sales)),
-    "unit_cost": lambda s: product.unit_costs(
+    "unit_cost": lambda s: _cost_as_double(product.unit_costs(
         product.classify(s.kept, tables.CATEGORY_NAMES),
         product.median_prices(product.price_counts(s.product_sales)),
-    ),
+    )),
     "ideal_rate": lambda s: product.ideal_rates(s.standards, s.machines)
     .join(F.broadcast(s.kept.select("product_name")), "product_name", "left_semi")
     .drop("assembly_seconds"),
-    "dim_product": lambda s: s.dim_product,
-    "product_review": lambda s: product.product_review(s.dim_product, s.machines),
+    "dim_product": lambda s: _cost_as_double(s.dim_product),
+    "product_review": lambda s: _cost_as_double(
+        product.product_review(s.dim_product, s.machines)
+    ),
     # OEE
     "logged_stops": lambda s: oee.logged_stops(s.stops),
     "batch_oee": lambda s: s.batch_oee,

@@ -12,6 +12,26 @@ def _struct(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# The Parquet tables that stand in for a till export and a plant's event log. A
+# declared schema also spares a job that would read file footers to infer one.
+SOURCE_TABLES = {
+    "lineitem": _struct(
+        l_orderkey=LONG, l_partkey=LONG, l_suppkey=LONG, l_linenumber=INT, l_quantity=REAL,
+        l_extendedprice=REAL, l_discount=REAL, l_tax=REAL, l_returnflag=TEXT,
+        l_linestatus=TEXT, l_shipdate=TIME,
+    ),
+    "orders": _struct(
+        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=TEXT, o_totalprice=REAL,
+        o_orderdate=TIME, o_orderpriority=TEXT,
+    ),
+    "part": _struct(
+        p_partkey=LONG, p_name=TEXT, p_brand=TEXT, p_type=TEXT, p_size=INT, p_retailprice=REAL,
+    ),
+    "events": _struct(
+        event_id=LONG, ts=TIME, user_id=LONG, event_type=TEXT, value=REAL, props=TEXT,
+    ),
+}
+
 RAW_SALES = _struct(**{
     "Unnamed: 0": TEXT, "date": TEXT, "time": TEXT, "ticket_number": REAL, "article": TEXT,
     "Quantity": REAL, "unit_price": TEXT,

@@ -1,8 +1,11 @@
-"""Session settings and staging of small intermediate results."""
+"""Session settings and staging of intermediate results."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,24 +25,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a local one only in local mode."""
+def staging_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="tillfloor-")
-    context.setCheckpointDir(shared)
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
+    return shared
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write an aggregate once to the checkpoint folder and read it from there.
+    """Write a result once to the shared folder and read it from there.
 
-    For a result that several branches of one query need: the branches then
-    share one pass over the source, and a lost executor costs a file read.
+    For a result that several branches of one query need: the branches share one
+    pass over the source, each reads only the columns it uses, joins know its
+    size, and a lost executor costs a file read. The files stay in the folder,
+    whose owner clears it like any checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{staging_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

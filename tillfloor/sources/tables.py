@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillfloor import params as P
 from tillfloor.functions import half_even, is_sunday, money, plus_minutes
+from tillfloor.schemas import SOURCE_TABLES
 
 # Product names are an adjective and a noun; the noun gives the category.
 ADJECTIVES = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
@@ -49,7 +50,7 @@ LISTED_CATEGORIES = tuple(
 
 
 def table(spark: SparkSession, data: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{data}/{name}.parquet")
+    return spark.read.schema(SOURCE_TABLES[name]).parquet(f"{data}/{name}.parquet")
 
 
 def _price(retail: Column) -> Column:
