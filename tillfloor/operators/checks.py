@@ -213,7 +213,7 @@ def product_checks(products: DataFrame, machines: DataFrame) -> DataFrame:
     peak_deck = F.max(F.when(machine == 1, rate))
     rack_leads = F.coalesce(peak_rack > peak_deck, F.lit(False))
     joined = products.join(
-        F.broadcast(machines.select("machine_id", "handling_minutes")), "machine_id", "left"
+        machines.select("machine_id", "handling_minutes"), "machine_id", "left"
     )
     return _rows(
         joined.agg(

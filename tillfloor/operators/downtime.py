@@ -18,7 +18,7 @@ def _reasons_by_machine(stops: DataFrame, machines: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("events"), F.sum("reported_duration_minutes").alias("minutes"))
     )
     return grouped.join(
-        F.broadcast(machines.select("machine_id", "machine_name")), "machine_id"
+        machines.select("machine_id", "machine_name"), "machine_id"
     ).select(
         "machine_id",
         "machine_name",

@@ -36,10 +36,9 @@ def batch_oee(
     """One row for each batch: hours, earned hours and the OEE terms.
 
     Stops are summed to batches before the join, so it is one to one and a batch
-    with very many stops is combined map-side. The machine table is an inline
-    one. The product table may be large, so its join carries no hint, and it
-    follows the join by batch so that its shuffle is its own and can be split
-    where one product has a large part of all batches.
+    with very many stops is combined map-side. The product table may be large:
+    its join follows the join by batch, so that its shuffle is its own and can
+    be split where one product has a large part of all batches.
     """
     good, scrap = F.col("good_units"), F.col("scrap_units")
     total = good + scrap
@@ -53,7 +52,7 @@ def batch_oee(
     joined = (
         batches.join(logged_stops(stops), "batch_id", "left")
         .join(attributes, "product_id")
-        .join(F.broadcast(machines.select("machine_id", "machine_name")), "machine_id")
+        .join(machines.select("machine_id", "machine_name"), "machine_id")
     )
     return joined.select(
         "batch_id",
@@ -156,7 +155,7 @@ def machine_hours(
     """
     rates = products.select("product_name", "machine_id", "ideal_units_per_hr")
     daily = (
-        demand.join(F.broadcast(rates), "product_name")
+        demand.join(rates, "product_name")
         .groupBy("machine_id", "sale_date")
         .agg(F.sum(ratio(F.col("units"), F.col("ideal_units_per_hr"))).alias("hours"))
     )

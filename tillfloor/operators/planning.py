@@ -71,7 +71,7 @@ def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ended = F.coalesce(F.sum(enough(F.col("units")).cast("int")).over(earlier), F.lit(0))
-    sections = demand.join(F.broadcast(lots), "product_name").withColumn(
+    sections = demand.join(lots, "product_name").withColumn(
         "section", F.floor(ended / SECTIONS_IN_A_FOLD)
     )
     days = F.array_sort(F.collect_list(F.struct("production_date", "units")))
@@ -110,7 +110,7 @@ def batch_plan(lots: DataFrame, products: DataFrame) -> DataFrame:
     )
     ideal = ratio(F.col("planned_units"), F.col("ideal_units_per_hr")) * 60
     return (
-        lots.join(F.broadcast(standards), "product_name")
+        lots.join(standards, "product_name")
         .withColumn("planned_units", half_even(F.col("units")).cast("int"))
         .where(F.col("planned_units") > 0)
         .withColumn("loads_used", loads)
@@ -211,7 +211,7 @@ def stop_intervals(
         "duration_minutes",
         [F.col(order), F.col(key)],
         "offset_minutes",
-        F.date_trunc("hour", F.col(order)),
+        F.unix_date(F.to_date(F.col(order))) * 24 + F.hour(F.col(order)),
         within=["batch_id"],
     ).join(starts, "batch_id")
     offset = F.col("offset_minutes")

@@ -1,7 +1,8 @@
 """Product master: the best sellers that are made here, with cost and rate standards.
 
-Everything after the top-product cut has at most `top_products` rows, which is
-the bound that the windows and broadcasts below rely on.
+Everything after the top-product cut has at most `top_products` rows, the bound
+that the numbering window relies on. Small tables join without a hint: Spark
+knows the size of a limit, an inline table or a file, and broadcasts by it.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def coverage(sales: DataFrame, kept: DataFrame) -> DataFrame:
     totals = sales.groupBy("product").agg(
         F.sum("quantity").alias("units"), money_sum(F.col("revenue")).alias("revenue")
     )
-    covered = totals.join(F.broadcast(flags), "product", "left")
+    covered = totals.join(flags, "product", "left")
     return covered.agg(
         F.count("kept").alias("kept_products"),
         exact_round(ratio(F.sum(F.when(F.col("kept"), F.col("units"))), F.sum("units")), 4)
@@ -80,7 +81,7 @@ def classify(
 
 def join_categories(products: DataFrame, categories: DataFrame) -> DataFrame:
     """The same from an inline table by inner join: unlisted products drop out."""
-    return products.join(F.broadcast(categories), "product_name")
+    return products.join(categories, "product_name")
 
 
 def price_audit(sales: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -144,7 +145,7 @@ def ideal_rates(standards: DataFrame, machines: DataFrame) -> DataFrame:
         F.col("assembly_seconds").isNotNull(), F.try_divide(F.lit(3600.0), "assembly_seconds")
     ).otherwise(F.col("units_per_full_load") * F.try_divide(F.lit(60.0), cycle))
     return standards.join(
-        F.broadcast(machines.select("machine_id", "machine_type", "handling_minutes")),
+        machines.select("machine_id", "machine_type", "handling_minutes"),
         "machine_id",
     ).withColumn("ideal_units_per_hr", exact_round(rate, 2))
 
@@ -205,7 +206,7 @@ def product_review(products: DataFrame, machines: DataFrame) -> DataFrame:
     """Products with their machine, by machine and falling rate."""
     return (
         products.join(
-            F.broadcast(machines.select("machine_id", "machine_name", "handling_minutes")),
+            machines.select("machine_id", "machine_name", "handling_minutes"),
             "machine_id",
         )
         .orderBy("machine_id", F.desc("ideal_units_per_hr"), "product_name")

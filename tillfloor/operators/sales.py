@@ -293,9 +293,10 @@ def daily_demand(sales: DataFrame, product_names: DataFrame) -> DataFrame:
     """Units by product and date for the products of the dimension.
 
     `product_names` has one row for each kept product, at most the top-product
-    cut, so it is broadcast and lines of other products never reach the shuffle.
+    cut: Spark broadcasts it by its size, and lines of other products never
+    reach the shuffle.
     """
-    kept = F.broadcast(product_names.select(F.col("product_name").alias("product")))
+    kept = product_names.select(F.col("product_name").alias("product"))
     return (
         sales.where(F.col("quantity") > 0)
         .join(kept, "product", "left_semi")

@@ -142,7 +142,7 @@ for _name, _build in {
         product.median_prices(product.price_counts(s.product_sales)),
     )),
     "ideal_rate": lambda s: product.ideal_rates(s.standards, s.machines)
-    .join(F.broadcast(s.kept.select("product_name")), "product_name", "left_semi")
+    .join(s.kept.select("product_name"), "product_name", "left_semi")
     .drop("assembly_seconds"),
     "dim_product": lambda s: _cost_as_double(s.dim_product),
     "product_review": lambda s: _cost_as_double(
