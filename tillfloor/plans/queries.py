@@ -44,8 +44,8 @@ def _raw(star: S.Star) -> DataFrame:
     return tables.raw_sales_lines(star.spark, star.data)
 
 
-def _dates(star: S.Star) -> DataFrame:
-    return tables.sales_lines(star.spark, star.data, product=False)
+def _unpriced(star: S.Star) -> DataFrame:
+    return tables.ticket_sales(star.spark, star.data, price=False)
 
 
 def _rated_batches(star: S.Star) -> DataFrame:
@@ -107,22 +107,22 @@ for _name, _build in {
     # sales KPIs
     "sales_totals": lambda s: sales.totals(s.product_sales),
     "kpi_product": lambda s: sales.product_performance(s.product_sales),
-    "kpi_weekday": lambda s: sales.weekday_performance(s.sales),
-    "kpi_month": lambda s: sales.monthly(s.sales),
-    "kpi_hour": lambda s: sales.hourly(s.sales),
+    "kpi_weekday": lambda s: sales.weekday_performance(s.tickets),
+    "kpi_month": lambda s: sales.monthly(s.tickets),
+    "kpi_hour": lambda s: sales.hourly(s.tickets),
     "ticket_averages": lambda s: sales.ticket_averages(s.product_sales),
     "top_products_units": lambda s: sales.top_products(s.product_sales, "units"),
     "top_products_revenue": lambda s: sales.top_products(s.product_sales, "revenue"),
     "units_vs_revenue_rank": lambda s: sales.rank_units_and_revenue(s.product_sales),
-    "weekday_ordered": lambda s: sales.weekday_revenue(s.sales),
-    "weekday_presence": lambda s: sales.weekday_presence(_dates(s)),
-    "top_months": lambda s: sales.top_months(s.sales),
-    "top_hours": lambda s: sales.top_hours(_dates(s)),
-    "month_avg_per_open_day": lambda s: sales.month_open_day_average(s.sales),
-    "monthly_trend": lambda s: sales.monthly_trend(s.sales),
+    "weekday_ordered": lambda s: sales.weekday_revenue(s.tickets),
+    "weekday_presence": lambda s: sales.weekday_presence(_unpriced(s)),
+    "top_months": lambda s: sales.top_months(s.tickets),
+    "top_hours": lambda s: sales.top_hours(_unpriced(s)),
+    "month_avg_per_open_day": lambda s: sales.month_open_day_average(s.tickets),
+    "monthly_trend": lambda s: sales.monthly_trend(s.tickets),
     "product_share": lambda s: sales.product_shares(s.product_sales),
-    "morning_share": lambda s: sales.morning_share(_dates(s)),
-    "weekend_ratio": lambda s: sales.weekend_ratio(s.sales),
+    "morning_share": lambda s: sales.morning_share(_unpriced(s)),
+    "weekend_ratio": lambda s: sales.weekend_ratio(s.tickets),
     "dashboard_daily": lambda s: sales.dashboard_daily(s.sales),
     "daily_demand": lambda s: s.demand,
     # product master

@@ -38,6 +38,11 @@ class Star:
         """Sales lines without the ticket header: no join to the orders."""
         return T.sales_lines(self.spark, self.data, date=False)
 
+    @cached_property
+    def tickets(self) -> DataFrame:
+        """Sales summed to tickets, for figures by date or hour."""
+        return T.ticket_sales(self.spark, self.data)
+
     @cached_property
     def kept(self) -> DataFrame:
         units = self.product_sales.where("quantity > 0").select(

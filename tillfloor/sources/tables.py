@@ -57,6 +57,15 @@ def _price(retail: Column) -> Column:
     return F.rint(retail * 100) / 100
 
 
+def _ticket_headers(spark: SparkSession, data: str) -> DataFrame:
+    hours = (F.lit(6) + F.col("o_orderkey") % 14).cast("int")
+    return table(spark, data, "orders").select(
+        "o_orderkey",
+        F.to_date("o_orderdate").alias("sale_date"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hours)).alias("sale_ts"),
+    )
+
+
 def sales_lines(
     spark: SparkSession, data: str, product: bool = True, date: bool = True
 ) -> DataFrame:
@@ -80,17 +89,31 @@ def sales_lines(
             money(F.col("l_quantity") * F.col("unit_price")).alias("revenue"),
         ]
     if date:
-        hours = (F.lit(6) + F.col("o_orderkey") % 14).cast("int")
-        orders = table(spark, data, "orders").select(
-            "o_orderkey",
-            F.to_date("o_orderdate").alias("sale_date"),
-            (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hours)).alias("sale_ts"),
-        )
+        orders = _ticket_headers(spark, data)
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         columns += [F.col("sale_date"), F.col("sale_ts")]
     return lines.select(*columns)
 
 
+def ticket_sales(spark: SparkSession, data: str, price: bool = True) -> DataFrame:
+    """Sales by ticket, for figures that need the date but no product.
+
+    Lines are summed to tickets before the header joins: a ticket's lines, also
+    very many, combine before the shuffle, the join reuses that shuffle, and
+    both its sides have unique keys.
+    """
+    lines = sales_lines(spark, data, product=price, date=False).groupBy("ticket_number")
+    sums = [F.sum("quantity").alias("quantity")]
+    if price:
+        sums.append(money(F.sum("revenue")).alias("revenue"))
+    orders = _ticket_headers(spark, data)
+    return (
+        lines.agg(*sums)
+        .join(orders, F.col("ticket_number") == F.col("o_orderkey"), "left")
+        .drop("o_orderkey")
+    )
+
+
 def raw_sales_lines(spark: SparkSession, data: str) -> DataFrame:
     """The same lines as a till export: text price and date, returns, free items."""
     price = F.when(F.col("p_size") == 1, F.lit(0.0)).otherwise(_price(F.col("p_retailprice")))
