@@ -53,6 +53,16 @@ def test_sliced_running_share(rows):
     assert max(r.share for r in sliced.collect()) == 1.0
 
 
+def test_sliced_ranks_of_a_decimal_with_nulls(rows):
+    amount = F.when(F.col("v") > 2, F.col("at").cast("decimal(38,4)"))
+    staged = stage(rows.select("id", amount.alias("amount")))
+    plain = global_ranks(staged, {"r": "amount"})
+    sliced = global_ranks(staged, {"r": "amount"}, one_window_rows=0)
+    assert sorted(map(tuple, plain.select("id", "r").collect())) == sorted(
+        map(tuple, sliced.select("id", "r").collect())
+    )
+
+
 @pytest.mark.parametrize("one_window_rows", [0, 100_000])
 def test_quantiles_are_exact(rows, one_window_rows):
     values = sorted(r.at for r in rows.collect())

@@ -123,6 +123,37 @@ def test_stops_are_laid_end_to_end_and_capped(spark):
     assert capped["D4"] == 5.0
 
 
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_a_batch_with_a_third_of_all_stops(spark, threshold):
+    at = dt.datetime(2021, 1, 4, 2)
+    rows = [
+        (f"D{i:05d}", "B0" if i % 3 == 0 else f"B{i % 50}", at + dt.timedelta(minutes=i * 7 % 9000),
+         float(i % 11 + 1)) for i in range(3000)
+    ]
+    stops = spark.createDataFrame(rows, STOP).repartition(8)
+    batches = spark.createDataFrame(
+        [(f"B{i}", 100.0 * (i + 1), at) for i in range(50)],
+        "batch_id string, planned_production_minutes double, actual_start_ts timestamp_ntz",
+    )
+    totals: dict[str, float] = {}
+    want_start, want_capped = {}, {}
+    for key, b, _, minutes in sorted(rows, key=lambda r: (r[2], r[0])):
+        want_start[key] = at + dt.timedelta(minutes=totals.get(b, 0.0))
+        totals[b] = totals.get(b, 0.0) + minutes
+    for key, b, _, minutes in rows:
+        cap = 0.85 * 100.0 * (int(b[1:]) + 1)
+        want_capped[key] = minutes * min(1.0, cap / totals[b])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        laid = planning.stop_intervals(stops, batches).collect()
+        capped = planning.stop_cap(stops, batches).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.downtime_id: r.laid_start_ts for r in laid} == want_start
+    assert {r.downtime_id: r.capped_minutes for r in capped} == pytest.approx(want_capped)
+
+
 def test_rounded_minutes_half_to_even_with_a_floor(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 7.5, 12.5, 11.97)], "m double")
     got = [r[0] for r in df.select(planning.rounded_minutes(F.col("m"))).collect()]

@@ -17,6 +17,12 @@ def sql():
     return sql_connection(DATA)
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
 def test_every_query_has_its_sql():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
@@ -25,6 +31,17 @@ def test_every_query_has_its_sql():
 def test_query_matches_sql(spark, sql, name):
     result = contract.queries()[name](spark, DATA)
     assert differences(result, sql, contract.oracle_sql()[name]) == []
+    plan = _plan(result)
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+        assert operator not in plan
+
+
+def test_scans_read_and_filter_only_what_they_need(spark):
+    plan = _plan(contract.queries()["logged_stops"](spark, DATA))
+    assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,3.0)]" in plan
+    assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
+    plan = _plan(contract.queries()["kpi_product"](spark, DATA))
+    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in plan
 
 
 def test_entry_has_rows(spark):

@@ -146,10 +146,19 @@ def raw_sales_lines(spark: SparkSession, data: str) -> DataFrame:
     )
 
 
+def _by_noun(name: Column, values: dict) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return pairs[F.substring_index(name, " ", -1)]
+
+
 def _category(name: Column) -> Column:
-    noun = F.substring_index(name, " ", -1)
-    nouns = F.create_map(*[F.lit(x) for pair in NOUN_CATEGORY.items() for x in pair])
-    return nouns[noun]
+    return _by_noun(name, NOUN_CATEGORY)
+
+
+def _full_load(name: Column) -> Column:
+    """Units in a full load; NULL where a product is assembled."""
+    loads = {n: CATEGORY_STANDARDS[c][1] for n, c in NOUN_CATEGORY.items()}
+    return _by_noun(name, {n: load for n, load in loads.items() if load})
 
 
 def products(spark: SparkSession, data: str) -> DataFrame:
@@ -198,7 +207,8 @@ def batches(spark: SparkSession, data: str) -> DataFrame:
         )
     )
     orders = table(spark, data, "orders").select("o_orderkey", "o_orderdate")
-    parts = table(spark, data, "part").select("p_partkey", "p_size")
+    parts = table(spark, data, "part").select("p_partkey", "p_name", "p_size")
+    loads = F.col("total_units") / _full_load(F.col("p_name"))
     day = F.to_date("o_orderdate")
     ideal = (F.lit(30) + F.col("p_size") * 10).cast("double")
     planned = F.col("planned_production_minutes")
@@ -224,7 +234,7 @@ def batches(spark: SparkSession, data: str) -> DataFrame:
             "product_id",
             (F.lit(1) + F.col("l_orderkey") % 3).cast("int").alias("machine_id"),
             F.col("total_units").alias("planned_units"),
-            half_even(F.col("total_units") / ideal, 4).alias("loads_used"),
+            F.coalesce(half_even(loads, 4), F.lit(0.0)).alias("loads_used"),
             "scheduled_start_ts",
             "scheduled_end_ts",
             "planned_production_minutes",
