@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tillfloor import params as P
 from tillfloor.functions import exact_round, ratio
-from tillfloor.session import stage
 
 
 def _reasons_by_machine(stops: DataFrame, machines: DataFrame) -> DataFrame:
@@ -78,9 +77,10 @@ def reason_coding(stops: DataFrame) -> DataFrame:
 
     Each cell of the small code matrix counts once under its true and once under
     its reported code. That gives every code of either side, as a full outer
-    join does, from a single pass over the stops.
+    join does, from one pass over the stops; the totals are one more, with no
+    shuffle of rows. The result stays lazy, so it can serve as a view.
     """
-    cells = stage(_cells(stops))
+    cells = _cells(stops)
     none = F.lit(None).cast("double")
     sides = cells.select(
         F.inline(
@@ -100,8 +100,12 @@ def reason_coding(stops: DataFrame) -> DataFrame:
             )
         )
     ).where("present")
-    true_all = cells.select(F.sum("true_minutes").alias("x")).scalar()
-    reported_all = cells.where("was_logged").select(F.sum("reported_minutes").alias("x")).scalar()
+    logged_minutes = F.when(F.col("was_logged"), F.col("reported_duration_minutes"))
+    totals = stops.agg(
+        F.struct(F.sum("duration_minutes").alias("t"), F.sum(logged_minutes).alias("r"))
+        .alias("totals")
+    ).scalar()
+    true_all, reported_all = totals["t"], totals["r"]
     codes = sides.groupBy("reason_code").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
     t, r = F.coalesce(F.col("t"), F.lit(0.0)), F.coalesce(F.col("r"), F.lit(0.0))
     return codes.select(
