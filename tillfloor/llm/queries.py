@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillfloor.llm import license_scan, pii, quality_rules, secret_scan, sharding
+from tillfloor.llm import decontaminate, license_scan, pii, quality_rules, secret_scan, sharding
 from tillfloor.llm.common import read_table
 
 SHARDS = 24
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).drop("n_near_items")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(read_table(spark, sf_dir, "documents")))
 
@@ -45,6 +50,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scan, op4_license_scan, op7_sharding, op8_pii, op10_quality_rules)
+    f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_license_scan, op7_sharding, op8_pii, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
