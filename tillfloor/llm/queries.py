@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillfloor.llm import decontaminate, license_scan, pii, quality_rules, secret_scan, sharding
+from tillfloor.llm import decontaminate, license_scan, near_dedup, pii, quality_rules, secret_scan, sharding
 from tillfloor.llm.common import read_table
 
 SHARDS = 24
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).drop("n_near_items")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, threshold=0.8)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(read_table(spark, sf_dir, "documents")))
 
@@ -50,6 +54,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_secret_scan, op4_license_scan, op7_sharding, op8_pii, op10_quality_rules)
+    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op7_sharding, op8_pii, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE}
