@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillfloor.llm import decontaminate, license_scan, near_dedup, pii, quality_rules, secret_scan, sharding
+from tillfloor.llm import decontaminate, language_id, license_scan, mixing, near_dedup, pii, quality_rules, secret_scan, sharding
 from tillfloor.llm.common import read_table
 
 SHARDS = 24
@@ -30,6 +30,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows to read, as often as they are to be read."""
+    read, _ = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "source", "lang", "n_chars")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -54,6 +64,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op7_sharding, op8_pii, op10_quality_rules)
+    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding, op8_pii, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE}
