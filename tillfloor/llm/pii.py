@@ -332,9 +332,13 @@ def learn(docs: DataFrame, sample: int = 600) -> np.ndarray:
 
     A table without any trigger gives zero weights, which add no span.
     """
+    held = docs.filter(F.col("text").rlike("@|[0-9]{3}")).select(
+        "doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h")
+    )
+    # an even draw of about twice the sample, so that what is sorted doesn't grow with the corpus
+    n = max(1, held.count())
     few = (
-        docs.filter(F.col("text").rlike("@|[0-9]{3}"))
-        .select("doc_id", "text", F.xxhash64("text").alias("h"))
+        held.filter(F.col("h") * F.lit(float(n)) < F.lit(float(2 * sample << 30)))
         .orderBy("h", "doc_id")
         .limit(sample)
         .select("doc_id", "text")

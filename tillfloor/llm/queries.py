@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillfloor.llm import decontaminate, language_id, license_scan, mixing, near_dedup, pii, quality_rules, secret_scan, sharding
+from tillfloor.llm import decontaminate, language_id, license_scan, mixing, near_dedup, passages, pii, quality_rules, secret_scan, sharding
 from tillfloor.llm.common import read_table
 
 SHARDS = 24
@@ -56,6 +56,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select(
@@ -64,6 +68,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding, op8_pii, op10_quality_rules)
+    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding, op8_pii, op9_repeated_passages, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE}
