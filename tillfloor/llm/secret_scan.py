@@ -132,9 +132,9 @@ KEY = ("doc_id", "text_hash")
 
 def trigram_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id, text_hash) of the given trigrams, over every text."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return rows.select(*KEY, F.explode(held).alias("trigram"))
+    low = rows.select(*KEY, F.lower("text").alias("low"))
+    held = low.select(*KEY, F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)).alias("held"))
+    return held.select(*KEY, F.explode("held").alias("trigram")).filter(F.col("trigram").isNotNull())
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
