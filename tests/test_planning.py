@@ -113,7 +113,8 @@ def test_stops_are_laid_end_to_end_and_capped(spark):
         [("B1", 100.0, at), ("B2", 100.0, at)],
         "batch_id string, planned_production_minutes double, actual_start_ts timestamp_ntz",
     )
-    laid = {r.downtime_id: r for r in planning.stop_intervals(stops, batches).collect()}
+    laid = {r.downtime_id: r for r in planning.stop_intervals(
+        stops, batches, minutes="duration_minutes").collect()}
     assert laid["D1"].laid_start_ts == at
     assert laid["D3"].laid_start_ts == at + dt.timedelta(minutes=10)
     assert laid["D2"].laid_start_ts == at + dt.timedelta(minutes=80)
@@ -123,6 +124,53 @@ def test_stops_are_laid_end_to_end_and_capped(spark):
     assert capped["D4"] == 5.0
 
 
+def capped_batch(spark):
+    """Planned 20 minutes: ten stops of 4 lose 17 minutes at most, 1.7 each, none of them long."""
+    at = dt.datetime(2021, 1, 4, 2)
+    stops = spark.createDataFrame(
+        [(f"D{i}", "B1", at + dt.timedelta(minutes=i), 4.0) for i in range(10)]
+        + [("D90", "B2", at, 4.0), ("D91", "B3", at, 50.0)], STOP
+    )
+    batches = spark.createDataFrame(
+        [("B1", 20.0, at, 1, 100, 0.02), ("B2", 20.0, at, 1, 100, 0.02), ("B3", 1.0, at, 1, 1, 0.0)],
+        "batch_id string, planned_production_minutes double, actual_start_ts timestamp_ntz, "
+        "product_id int, total_units int, base_rate double",
+    )
+    products = spark.createDataFrame(
+        [(1, "bread", 60.0)], "product_id int, product_category string, ideal_units_per_hr double"
+    )
+    return stops, batches, products
+
+
+def test_long_stops_are_counted_after_the_cap(spark):
+    stops, batches, products = capped_batch(spark)
+    capped = planning.stop_cap(stops, batches)
+    got = {r.batch_id: r for r in planning.scrap_with_stops(batches, capped, products).collect()}
+    assert (got["B1"].long_stops, got["B1"].scrap_rate) == (0, 0.02)
+    assert (got["B2"].long_stops, got["B2"].scrap_rate) == (1, 0.032)
+
+
+def test_no_laid_stop_ends_after_its_batch(spark):
+    stops, batches, products = capped_batch(spark)
+    laid = planning.stop_intervals(planning.stop_cap(stops, batches), batches).collect()
+    end = {"B1": 20, "B2": 20, "B3": 1}
+    start = dt.datetime(2021, 1, 4, 2)
+    total: dict[str, float] = {}
+    for r in laid:
+        assert r.laid_end_ts <= start + dt.timedelta(minutes=end[r.batch_id])
+        total[r.batch_id] = total.get(r.batch_id, 0) + (r.laid_end_ts - r.laid_start_ts).total_seconds() / 60
+    run = {r.batch_id: r for r in planning.run_time(batches.drop("total_units"), stops, products).collect()}
+    for b in ("B1", "B2"):
+        assert total[b] == pytest.approx(20 - run[b].run_minutes, abs=1e-3)
+
+
+def test_a_batch_without_output_goes_with_what_belongs_to_it(spark):
+    stops, batches, products = capped_batch(spark)
+    left = planning.run_time(batches.drop("total_units"), stops, products)
+    assert {r.batch_id for r in left.collect()} == {"B1", "B2"}
+    assert {r.batch_id for r in planning.of_batches(stops, left).collect()} == {"B1", "B2"}
+
+
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
 def test_a_batch_with_a_third_of_all_stops(spark, threshold):
     at = dt.datetime(2021, 1, 4, 2)
@@ -146,7 +194,7 @@ def test_a_batch_with_a_third_of_all_stops(spark, threshold):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        laid = planning.stop_intervals(stops, batches).collect()
+        laid = planning.stop_intervals(stops, batches, minutes="duration_minutes").collect()
         capped = planning.stop_cap(stops, batches).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

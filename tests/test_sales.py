@@ -114,3 +114,17 @@ def test_median_is_over_lines_not_units(spark):
     ])
     row = product.median_prices(product.price_counts(df)).first()
     assert row.median_unit_price_eur == 3.0
+
+
+def test_units_beyond_32_bits(spark):
+    from tillfloor import params as P
+    from tillfloor.operators import product
+    from tillfloor.sources.inline import machine_table, standards_table
+
+    names = [s[0] for s in P.OPERATING_STANDARDS]
+    lines = spark.createDataFrame(
+        [(n, 1.2, 3.0e9 - i, 1) for i, n in enumerate(names)],
+        "product string, unit_price double, quantity double, lines bigint",
+    )
+    dim = product.dim_product(lines, standards_table(spark), machine_table(spark))
+    assert max(r.v1_total_units for r in dim.collect()) == 3_000_000_000

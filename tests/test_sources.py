@@ -4,6 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from test_production import AT, DAY, batch, batches, stop, stops
 
 from tillfloor import params as P
@@ -14,8 +15,10 @@ from tillfloor.plans.star import listed_star_tables, register_views
 from tillfloor.sources import (
     add_missing_columns,
     append_by_position,
+    current_version,
     load_fact,
     publish_if_valid,
+    published,
     read_clean_sales,
     read_raw_sales,
     replace_table,
@@ -95,14 +98,20 @@ def test_missing_columns_are_added_once(spark):
     assert add_missing_columns(full, schemas.DIM_PRODUCT).columns == full.columns
 
 
-def test_publish_is_all_or_nothing(spark, tmp_path):
-    staging, target = str(tmp_path / "staging"), str(tmp_path / "target")
-    good = batches(spark, [batch("B1", 60.0, 48.0, 9, 1)])
-    publish_if_valid(good, staging, target, checks.batch_checks)
+def test_a_failed_check_or_write_leaves_the_published_rows(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(LookupError, match="nothing is published"):
+        published(spark, path)
+    publish_if_valid(batches(spark, [batch("B1", 60.0, 48.0, 9, 1)]), path, checks.batch_checks)
     bad = batches(spark, [batch("B2", 60.0, 99.0, 9, 1)])
     with pytest.raises(checks.CheckFailure, match="run time"):
-        publish_if_valid(bad, staging, target, checks.batch_checks)
-    assert [r.batch_id for r in spark.read.parquet(target).collect()] == ["B1"]
+        publish_if_valid(bad, path, checks.batch_checks)
+    broken = bad.withColumn("batch_id", F.raise_error(F.lit("disk is gone")).cast("string"))
+    with pytest.raises(Exception, match="disk is gone"):
+        publish_if_valid(broken, path)
+    assert [r.batch_id for r in published(spark, path).collect()] == ["B1"]
+    publish_if_valid(batches(spark, [batch("B3", 60.0, 48.0, 9, 1)]), path, checks.batch_checks)
+    assert [r.batch_id for r in published(spark, path).collect()] == ["B3"]
 
 
 def test_incomplete_catalog_is_reported(spark):
@@ -134,11 +143,13 @@ def test_whole_build(spark, tmp_path: Path):
     assert result.rows == {"fact_production_batch": 1, "fact_downtime": 3,
                            "fact_quality_inspection": 1}
     checks.require_passed(result.checks)
+    assert result.published
+    assert current_version(spark, str(tmp_path / "out")) == Path(result.folder).name
     assert spark.table("kpi_product_performance").count() == 30
     assert spark.table("v_oee_daily").first().availability == 0.8
-    assert read_clean_sales(spark, str(tmp_path / "out" / "clean_sales_csv")).count() == 30
+    assert read_clean_sales(spark, f"{result.folder}/clean_sales_csv").count() == 30
     assert listed_star_tables(spark) == list(schemas.STAR_TABLES)
-    feed = spark.read.option("header", True).csv(str(tmp_path / "out" / "dashboard_csv"))
+    feed = spark.read.option("header", True).csv(f"{result.folder}/dashboard_csv")
     assert feed.columns == ["sale_date", "day_of_week", "sale_month", "product", "units",
                             "revenue"]
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def exact_round(col: Column, digits: int) -> Column:
-    """Round half up, as a double, with the same answer at any partitioning.
+    """Round half up, as a double, after eight decimals have dropped the noise of a quotient.
 
-    A sum of doubles depends on the order of its rows in the last bits, which
-    would flip a tie. Eight decimals keep the value and drop that noise.
+    Sums that go in are exact (`money_sum`, `minutes_sum`, counts), so the answer is
+    the same at any partitioning; a plain sum of doubles would not be.
     """
     return F.round(col.cast("decimal(28,8)"), digits).cast("double")
 
@@ -42,6 +42,28 @@ def money_sum(amount: Column) -> Column:
     )
 
 
+def minutes_sum(minutes: Column) -> Column:
+    """Exact total of durations with at most four decimals, by the same integer sums."""
+    return money_sum(minutes)
+
+
+def hours_sum(hours: Column) -> Column:
+    """Total of earned hours, each to eight decimals, the same in any order of the rows."""
+    return F.sum(hours.cast("decimal(18,8)"))
+
+
+def line_count(df) -> Column:
+    """How many lines the rows stand for: rows summed by part bring their `lines`."""
+    return F.sum("lines") if "lines" in df.columns else F.count("*")
+
+
+def revenue_sum(df) -> Column:
+    """Exact revenue, of doubles or of decimals that are exact already."""
+    if df.schema["revenue"].dataType.typeName() == "decimal":
+        return F.sum("revenue").cast("decimal(38,4)")
+    return money_sum(F.col("revenue"))
+
+
 def money_round(col: Column, digits: int = 2) -> Column:
     """Round a decimal amount half up; the amount itself is exact."""
     return F.round(col, digits).cast("double")

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from tillfloor.functions.exprs import exact_round, ratio
 from tillfloor.session import stage
 
-# At most this many rows are ordered by one plain window.
-ONE_WINDOW_ROWS = 100_000
-MAX_SLICES = 256
-
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -58,56 +54,41 @@ def total_before(
 
 
 def _slices(df: DataFrame, key: str, descending: bool) -> Column:
-    """Slice number by near-equal row counts; the driver holds only the bounds."""
-    conf = df.sparkSession.conf
-    n = max(2, min(MAX_SLICES, int(conf.get("spark.sql.shuffle.partitions"))))
+    """Slice number by near-equal row counts, a slice for each shuffle partition.
+
+    The driver holds only the bounds between slices.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n)
     array = F.array(*[F.lit(b) for b in sorted(set(bounds))])
     number = F.size(F.filter(array, lambda b: b < F.col(key).cast("double")))
     return -number if descending else number
 
 
-def _weight_before(
-    df: DataFrame, key: str, weight: str, out: str, descending: bool, one_window_rows: int
-) -> DataFrame:
+def _weight_before(df: DataFrame, key: str, weight: str, out: str, descending: bool) -> DataFrame:
     """`total_before` over the whole of a staged table with one row for each key."""
     order = F.col(key).desc() if descending else F.col(key).asc()
-    if df.count() <= one_window_rows:
-        earlier = Window.orderBy(order).rowsBetween(*_EARLIER)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
     return total_before(df, weight, [order], out, _slices(df, key, descending))
 
 
-def global_ranks(
-    df: DataFrame, ranks: dict[str, str], one_window_rows: int = ONE_WINDOW_ROWS
-) -> DataFrame:
+def global_ranks(df: DataFrame, ranks: dict[str, str]) -> DataFrame:
     """Add a descending rank (ties share it) for each `{new column: value column}`.
 
     `df` should be staged, since it is read once more for each rank.
     """
-    if df.count() <= one_window_rows:
-        return df.withColumns(
-            {out: F.rank().over(Window.orderBy(F.desc(col))) for out, col in ranks.items()}
-        )
     for out, col in ranks.items():
         values = stage(df.groupBy(col).agg(F.count("*").alias("_n")))
-        ranked = _weight_before(values, col, "_n", "_above", True, one_window_rows)
-        ranked = ranked.select(
-            F.col(col).alias("_value"), (F.col("_above") + 1).cast("int").alias(out)
-        )
+        ranked = _weight_before(values, col, "_n", "_above", True)
+        ranked = ranked.select(F.col(col).alias("_value"), (F.col("_above") + 1).alias(out))
         df = df.join(ranked, df[col].eqNullSafe(ranked["_value"]), "left").drop("_value")
     return df
 
 
-def running_share(
-    df: DataFrame, value: str, out: str, digits: int, one_window_rows: int = ONE_WINDOW_ROWS
-) -> DataFrame:
+def running_share(df: DataFrame, value: str, out: str, digits: int) -> DataFrame:
     """Add the share of the total held by rows with at least this value."""
     totals = df.select(F.sum(value).alias("t")).scalar()
-    values = df.groupBy(value).agg(F.sum(value).alias("_weight"))
-    if df.count() > one_window_rows:
-        values = stage(values)
-    above = _weight_before(values, value, "_weight", "_above", True, one_window_rows)
+    values = stage(df.groupBy(value).agg(F.sum(value).alias("_weight")))
+    above = _weight_before(values, value, "_weight", "_above", True)
     shares = above.select(
         F.col(value).alias("_value"),
         exact_round(ratio(F.col("_above") + F.col("_weight"), totals), digits).alias(out),
@@ -115,10 +96,7 @@ def running_share(
     return df.join(shares, df[value].eqNullSafe(shares["_value"]), "left").drop("_value")
 
 
-def exact_quantiles(
-    df: DataFrame, col: str, probabilities: dict[str, float],
-    one_window_rows: int = ONE_WINDOW_ROWS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probabilities: dict[str, float]) -> DataFrame:
     """One row: row count, mean, sample deviation, min, max and exact quantiles.
 
     The column is first counted by value, so equal values cost one row, and no
@@ -133,7 +111,7 @@ def exact_quantiles(
         F.sum("_n"), F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")
     ).first()
     total = total or 0
-    before = _weight_before(counts, "_x", "_n", "_before", False, one_window_rows)
+    before = _weight_before(counts, "_x", "_n", "_before", False)
 
     def at(position: int) -> Column:
         hit = (F.col("_before") <= position) & (F.col("_before") + F.col("_n") > position)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
-from tillfloor.functions import exact_round, is_sunday, ratio
+from tillfloor.functions import exact_round, is_sunday, minutes_sum, ratio
 
 PARAMS = P.PARAMS
 
@@ -80,7 +80,7 @@ def stop_checks(batches: DataFrame, stops: DataFrame) -> DataFrame:
     Stops are summed to batches first, then one full outer join answers both.
     """
     totals = stops.groupBy("batch_id").agg(
-        F.sum("duration_minutes").alias("stopped"), F.count("*").alias("stops")
+        minutes_sum(F.col("duration_minutes")).cast("double").alias("stopped"), F.count("*").alias("stops")
     )
     gaps = batches.select(
         F.col("batch_id"),

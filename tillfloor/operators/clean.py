@@ -50,10 +50,14 @@ def clean_sales(raw: DataFrame) -> DataFrame:
 
 
 def clean_funnel(raw: DataFrame) -> DataFrame:
-    """Rows removed by each step in order; a returned free item counts as a return."""
+    """Rows removed by each step in order; a returned free item counts as a return.
+
+    Only quantity and price decide, so a `raw` without dates will do.
+    """
+    rows = raw.select("Quantity", parse_price(F.col("unit_price")).alias("unit_price"))
     sold = F.col("Quantity") > 0
     priced = F.col("unit_price") > 0
-    return typed_lines(raw).agg(
+    return rows.agg(
         F.count("*").alias("raw_rows"),
         (F.count("*") - F.count_if(sold)).alias("returns_removed"),
         (F.count_if(sold) - F.count_if(sold & priced)).alias("zero_price_removed"),
@@ -61,6 +65,15 @@ def clean_funnel(raw: DataFrame) -> DataFrame:
     )
 
 
+def price_text(raw: DataFrame) -> DataFrame:
+    """Ticket, article and the price as a number."""
+    return raw.select(
+        F.col("ticket_number").cast("bigint").alias("ticket_number"),
+        "article",
+        parse_price(F.col("unit_price")).alias("unit_price"),
+    )
+
+
 def sales_base(clean: DataFrame) -> DataFrame:
     """Friendly names and the date parts that the KPIs group by."""
     date = F.to_date("datetime")

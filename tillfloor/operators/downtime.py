@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
-from tillfloor.functions import exact_round, ratio
+from tillfloor.functions import exact_round, minutes_sum, ratio
+from tillfloor.operators.oee import clock_hours
 
 
 def _reasons_by_machine(stops: DataFrame, machines: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def _reasons_by_machine(stops: DataFrame, machines: DataFrame) -> DataFrame:
     grouped = (
         stops.where("was_logged")
         .groupBy("machine_id", "reported_reason_code", "reported_reason_label")
-        .agg(F.count("*").alias("events"), F.sum("reported_duration_minutes").alias("minutes"))
+        .agg(F.count("*").alias("events"), minutes_sum(F.col("reported_duration_minutes")).alias("minutes"))
     )
     return grouped.join(
         machines.select("machine_id", "machine_name"), "machine_id"
@@ -24,8 +25,7 @@ def _reasons_by_machine(stops: DataFrame, machines: DataFrame) -> DataFrame:
         F.col("reported_reason_code").alias("reason_code"),
         F.col("reported_reason_label").alias("reason_label"),
         "events",
-        # Rid of double noise, so that equal sums tie in the running share.
-        F.round(F.col("minutes").cast("decimal(28,8)"), 6).alias("minutes"),
+        "minutes",
     )
 
 
@@ -38,7 +38,7 @@ def downtime_pareto(stops: DataFrame, machines: DataFrame) -> DataFrame:
         "reason_code",
         "reason_label",
         "events",
-        exact_round(F.col("minutes") / 60, 2).alias("stop_hours"),
+        exact_round(F.col("minutes").cast("double") / 60, 2).alias("stop_hours"),
         exact_round(ratio(F.col("minutes"), F.sum("minutes").over(machine)), 4)
         .alias("share_of_machine_stop_time"),
     )
@@ -56,7 +56,7 @@ def pareto_cumulative(stops: DataFrame, machines: DataFrame) -> DataFrame:
         "reason_code",
         "reason_label",
         "events",
-        exact_round(F.col("minutes") / 60, 2).alias("stop_hours"),
+        exact_round(F.col("minutes").cast("double") / 60, 2).alias("stop_hours"),
         exact_round(
             ratio(F.sum("minutes").over(running), F.sum("minutes").over(machine)), 4
         ).alias("cumulative_share"),
@@ -67,8 +67,8 @@ def _cells(stops: DataFrame) -> DataFrame:
     """Stops by true code, reported code and logged flag: one pass, few rows."""
     return stops.groupBy("true_reason_code", "reported_reason_code", "was_logged").agg(
         F.count("*").alias("events"),
-        F.sum("duration_minutes").alias("true_minutes"),
-        F.sum("reported_duration_minutes").alias("reported_minutes"),
+        minutes_sum(F.col("duration_minutes")).alias("true_minutes"),
+        minutes_sum(F.col("reported_duration_minutes")).alias("reported_minutes"),
     )
 
 
@@ -81,7 +81,7 @@ def reason_coding(stops: DataFrame) -> DataFrame:
     shuffle of rows. The result stays lazy, so it can serve as a view.
     """
     cells = _cells(stops)
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast("decimal(33,4)")
     sides = cells.select(
         F.inline(
             F.array(
@@ -102,16 +102,18 @@ def reason_coding(stops: DataFrame) -> DataFrame:
     ).where("present")
     logged_minutes = F.when(F.col("was_logged"), F.col("reported_duration_minutes"))
     totals = stops.agg(
-        F.struct(F.sum("duration_minutes").alias("t"), F.sum(logged_minutes).alias("r"))
+        F.struct(
+            minutes_sum(F.col("duration_minutes")).alias("t"), minutes_sum(logged_minutes).alias("r")
+        )
         .alias("totals")
     ).scalar()
     true_all, reported_all = totals["t"], totals["r"]
     codes = sides.groupBy("reason_code").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
-    t, r = F.coalesce(F.col("t"), F.lit(0.0)), F.coalesce(F.col("r"), F.lit(0.0))
+    t, r = F.coalesce(F.col("t"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
     return codes.select(
         "reason_code",
-        exact_round(t / 60, 1).alias("true_stop_hours"),
-        exact_round(r / 60, 1).alias("reported_stop_hours"),
+        exact_round(t.cast("double") / 60, 1).alias("true_stop_hours"),
+        exact_round(r.cast("double") / 60, 1).alias("reported_stop_hours"),
         exact_round(ratio(F.col("t"), true_all), 4).alias("true_share"),
         exact_round(ratio(F.col("r"), reported_all), 4).alias("reported_share"),
         exact_round(ratio(r, reported_all) - ratio(t, true_all), 4).alias("share_distortion"),
@@ -119,10 +121,10 @@ def reason_coding(stops: DataFrame) -> DataFrame:
 
 
 def unaccounted_time(oee: DataFrame) -> DataFrame:
-    """Machine counter against operator log: the stop time nobody recorded."""
-    planned, run = F.sum("planned_hours"), F.sum("run_hours")
-    logged = F.sum("logged_stop_hours")
-    stopped = F.sum(F.col("planned_hours") - F.col("run_hours"))
+    """Stop hours by the machine's counter less those in the log, by machine."""
+    planned, run = clock_hours("planned_hours"), clock_hours("run_hours")
+    logged = clock_hours("logged_stop_hours")
+    stopped = planned - run
     return oee.groupBy("machine_id", "machine_name").agg(
         exact_round(stopped, 1).alias("true_stop_hours"),
         exact_round(logged, 1).alias("logged_stop_hours"),
@@ -162,7 +164,11 @@ def catchall_share(stops: DataFrame) -> DataFrame:
     n = F.count("*")
     return stops.where("was_logged").agg(
         exact_round(
-            ratio(F.sum(F.when(other, F.col("duration_minutes"))), F.sum("duration_minutes")), 4
+            ratio(
+                minutes_sum(F.when(other, F.col("duration_minutes"))),
+                minutes_sum(F.col("duration_minutes")),
+            ),
+            4,
         ).alias("minutes_share"),
         exact_round(ratio(F.count_if(other), n), 4).alias("events_share"),
     )
@@ -185,7 +191,7 @@ def catchall_split(stops: DataFrame) -> DataFrame:
         .groupBy("true_reason_code")
         .agg(
             F.count("*").alias("stops"),
-            exact_round(F.sum("reported_duration_minutes") / 60, 2).alias("reported_hours"),
+            exact_round(minutes_sum(F.col("reported_duration_minutes")).cast("double") / 60, 2).alias("reported_hours"),
         )
         .withColumn("kind", F.when(genuine, "genuine").otherwise("miscoded"))
     )
@@ -195,6 +201,6 @@ def reason_confusion(stops: DataFrame) -> DataFrame:
     """Reported code by true code: stops, true hours and reported hours."""
     return stops.groupBy("true_reason_code", "reported_reason_code").agg(
         F.count("*").alias("stops"),
-        exact_round(F.sum("duration_minutes") / 60, 2).alias("true_hours"),
-        exact_round(F.sum("reported_duration_minutes") / 60, 2).alias("reported_hours"),
+        exact_round(minutes_sum(F.col("duration_minutes")).cast("double") / 60, 2).alias("true_hours"),
+        exact_round(minutes_sum(F.col("reported_duration_minutes")).cast("double") / 60, 2).alias("reported_hours"),
     )

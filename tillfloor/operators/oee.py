@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tillfloor.functions import (
     exact_round,
     global_ranks,
+    hours_sum,
+    minutes_sum,
     money,
     money_round,
     money_sum,
@@ -24,7 +26,7 @@ def logged_stops(stops: DataFrame) -> DataFrame:
         stops.where("was_logged")
         .groupBy("batch_id")
         .agg(
-            exact_round(F.sum("reported_duration_minutes"), 6).alias("logged_stop_minutes"),
+            exact_round(minutes_sum(F.col("reported_duration_minutes")), 6).alias("logged_stop_minutes"),
             F.count("*").alias("logged_stop_events"),
         )
     )
@@ -81,25 +83,32 @@ def batch_oee(
     )
 
 
-def _sum_ratio(numerator: str, denominator: str) -> Column:
-    return exact_round(ratio(F.sum(numerator), F.sum(denominator)), 4)
+def clock_hours(hours: str) -> Column:
+    """Total of hours that are minutes of two decimals: the minutes are summed."""
+    return minutes_sum(F.round(F.col(hours) * 60, 4)).cast("double") / 60
+
+
+def _sum_ratio(numerator: Column, denominator: Column) -> Column:
+    return exact_round(ratio(numerator, denominator), 4)
 
 
 def oee_daily(oee: DataFrame) -> DataFrame:
     """By date and machine. Unrounded sums are divided; rounding comes last."""
+    planned, run = clock_hours("planned_hours"), clock_hours("run_hours")
+    earned, good = hours_sum(F.col("earned_hours")), hours_sum(F.col("good_earned_hours"))
     return oee.groupBy("production_date", "machine_id", "machine_name").agg(
         F.count("*").alias("batches"),
         F.sum("total_units").alias("total_units"),
         F.sum("good_units").alias("good_units"),
         F.sum("scrap_units").alias("scrap_units"),
         money_round(money_sum(F.col("scrap_cost_eur"))).alias("scrap_cost_eur"),
-        exact_round(F.sum("planned_hours"), 2).alias("planned_hours"),
-        exact_round(F.sum("run_hours"), 2).alias("run_hours"),
-        exact_round(F.sum("logged_stop_hours"), 2).alias("logged_stop_hours"),
-        _sum_ratio("run_hours", "planned_hours").alias("availability"),
-        _sum_ratio("earned_hours", "run_hours").alias("performance"),
-        _sum_ratio("good_earned_hours", "earned_hours").alias("quality"),
-        _sum_ratio("good_earned_hours", "planned_hours").alias("oee"),
+        exact_round(planned, 2).alias("planned_hours"),
+        exact_round(run, 2).alias("run_hours"),
+        exact_round(clock_hours("logged_stop_hours"), 2).alias("logged_stop_hours"),
+        _sum_ratio(run, planned).alias("availability"),
+        _sum_ratio(earned, run).alias("performance"),
+        _sum_ratio(good, earned).alias("quality"),
+        _sum_ratio(good, planned).alias("oee"),
     )
 
 
@@ -157,9 +166,9 @@ def machine_hours(
     daily = (
         demand.join(rates, "product_name")
         .groupBy("machine_id", "sale_date")
-        .agg(F.sum(ratio(F.col("units"), F.col("ideal_units_per_hr"))).alias("hours"))
+        .agg(hours_sum(ratio(F.col("units"), F.col("ideal_units_per_hr"))).alias("hours"))
     )
-    mean = daily.groupBy("machine_id").agg(F.avg("hours").alias("hours"))
+    mean = daily.groupBy("machine_id").agg((F.sum("hours") / F.count("hours")).alias("hours"))
     return mean.select(
         "machine_id", "hours", F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor")
     ).select(

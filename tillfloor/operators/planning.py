@@ -12,7 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillfloor import params as P
-from tillfloor.functions import batch_key, exact_round, half_even, is_sunday, plus_minutes, ratio
+from tillfloor.functions import (
+    batch_key,
+    exact_round,
+    half_even,
+    is_sunday,
+    minutes_sum,
+    plus_minutes,
+    ratio,
+)
 from tillfloor.functions.exprs import md5_fraction
 from tillfloor.functions.ordered import total_before
 from tillfloor.session import stage
@@ -48,7 +56,8 @@ def min_lot_carry(demand: DataFrame, routed: DataFrame) -> DataFrame:
     Demand below the lot is carried to the product's next day with demand. A day
     that reaches the lot by itself always releases, whatever was carried, so it
     ends a section of the series. Sections are independent, and the fold with
-    reset takes a few at a time: its arrays hold some days, not the calendar.
+    reset takes a few at a time: its arrays hold some days. A product whose daily
+    demand never reaches the lot has one section, the calendar at most.
     `routed` is the product master with machine types (`product.routed_products`).
     """
     lots = routed.select(
@@ -111,7 +120,7 @@ def batch_plan(lots: DataFrame, products: DataFrame) -> DataFrame:
     ideal = ratio(F.col("planned_units"), F.col("ideal_units_per_hr")) * 60
     return (
         lots.join(standards, "product_name")
-        .withColumn("planned_units", half_even(F.col("units")).cast("int"))
+        .withColumn("planned_units", half_even(F.col("units")).cast("bigint"))
         .where(F.col("planned_units") > 0)
         .withColumn("loads_used", loads)
         .withColumn("ideal_minutes", ideal)
@@ -126,7 +135,7 @@ def dispatch_order(plan: DataFrame) -> DataFrame:
 
 
 def machine_schedule(dispatched: DataFrame) -> DataFrame:
-    """Start and end of each batch; every machine has its own clock from shift start."""
+    """Start and end of each batch: the batches of a machine follow each other from shift start."""
     before = (
         Window.partitionBy("production_date", "machine_id").orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -169,14 +178,21 @@ def stop_key(batch_id: Column, number: Column) -> Column:
 
 
 def batch_stop_totals(stops: DataFrame) -> DataFrame:
-    """Stop minutes by batch, and the number of stops long enough to be logged."""
-    long_enough = F.col("duration_minutes") >= PARAMS.logged_from_minutes
+    """Stop minutes by batch."""
     return stops.groupBy("batch_id").agg(
-        F.sum("duration_minutes").alias("stop_minutes"),
-        F.count_if(long_enough).alias("long_stops"),
+        minutes_sum(F.col("duration_minutes")).cast("double").alias("stop_minutes")
     )
 
 
+def long_stop_counts(capped: DataFrame) -> DataFrame:
+    """By batch, the stops that are still long enough to be logged after the cap.
+
+    Six decimals drop the noise of the factor at the limit itself.
+    """
+    long_enough = F.round("capped_minutes", 6) >= PARAMS.logged_from_minutes
+    return capped.groupBy("batch_id").agg(F.count_if(long_enough).alias("long_stops"))
+
+
 def stop_cap(stops: DataFrame, batches: DataFrame) -> DataFrame:
     """Scale a batch's stops down where they exceed the capped planned time.
 
@@ -198,9 +214,12 @@ def stop_cap(stops: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def stop_intervals(
-    stops: DataFrame, batches: DataFrame, order: str = "start_ts", key: str = "downtime_id"
+    stops: DataFrame, batches: DataFrame, order: str = "start_ts", key: str = "downtime_id",
+    minutes: str = "capped_minutes",
 ) -> DataFrame:
-    """Lay the stops of a batch end to end from its start.
+    """Lay the stops of a batch end to end from its start, each as long as `minutes` says.
+
+    Laid out of `stop_cap`, no stop ends after its batch.
 
     The running total is cut into hours of the stop's own time, so one batch
     with a third of all stops spreads over as many tasks as it has hours.
@@ -208,7 +227,7 @@ def stop_intervals(
     starts = batches.select("batch_id", F.col("actual_start_ts").alias("batch_start_ts"))
     laid = total_before(
         stops,
-        "duration_minutes",
+        minutes,
         [F.col(order), F.col(key)],
         "offset_minutes",
         F.unix_date(F.to_date(F.col(order))) * 24 + F.hour(F.col(order)),
@@ -219,7 +238,7 @@ def stop_intervals(
         "laid_start_ts", plus_minutes(F.col("batch_start_ts"), offset)
     ).withColumn(
         "laid_end_ts",
-        plus_minutes(F.col("batch_start_ts"), offset + F.col("duration_minutes")),
+        plus_minutes(F.col("batch_start_ts"), offset + F.col(minutes)),
     )
 
 
@@ -231,7 +250,8 @@ def run_time(
 ) -> DataFrame:
     """Run minutes are planned minus stopped; output is floored, never rounded up.
 
-    Capped stops add up to the capped total, so batch totals are enough here.
+    A batch that makes nothing is not a batch: it drops out, and `of_batches` drops
+    what belongs to it. Capped stops add up to the capped total, so batch totals are enough here.
     """
     totals = batch_stop_totals(stops).select("batch_id", "stop_minutes")
     rates = products.select("product_id", "ideal_units_per_hr")
@@ -246,10 +266,16 @@ def run_time(
         batches.join(totals, "batch_id", "left")
         .join(rates, "product_id")
         .withColumn("run_minutes", exact_round(run, 6))
-        .withColumn("total_units", F.floor(F.round(made, 6)).cast("int"))
+        .withColumn("total_units", F.floor(F.round(made, 6)).cast("bigint"))
+        .where(F.col("total_units") >= 1)
     )
 
 
+def of_batches(rows: DataFrame, batches: DataFrame) -> DataFrame:
+    """Stops or inspections of the batches that are left."""
+    return rows.join(batches.select("batch_id"), "batch_id", "left_semi")
+
+
 def stop_band(minutes: Column) -> Column:
     short, middle = PARAMS.band_edges
     return (
@@ -287,13 +313,14 @@ def scrap_with_stops(
 ) -> DataFrame:
     """Scrap rises with every stop long enough to cool the oven, up to a cap.
 
-    `batches` brings `total_units` and its scrap rate without stops, `base_rate`.
+    `batches` brings `total_units` and its scrap rate without stops, `base_rate`;
+    `stops` come out of `stop_cap`, since a stop may be short after it.
     """
     categories = products.select("product_id", "product_category")
     factor: Column = F.lit(1.0)
     for label, value in PARAMS.scrap_multiplier.items():
         factor = F.when(F.col("product_category") == label, F.lit(value)).otherwise(factor)
-    long_stops = batch_stop_totals(stops).select("batch_id", "long_stops")
+    long_stops = long_stop_counts(stops)
     raised = F.col(base_rate) * factor + F.col("long_stops") * PARAMS.scrap_per_stop
     return (
         batches.join(long_stops, "batch_id", "left")
@@ -302,7 +329,7 @@ def scrap_with_stops(
         .withColumn("scrap_rate", exact_round(F.least(raised, F.lit(PARAMS.scrap_cap)), 8))
         .withColumn(
             "scrap_units", half_even(F.round(F.col("total_units") * F.col("scrap_rate"), 6))
-            .cast("int"),
+            .cast("bigint"),
         )
         .withColumn("good_units", F.col("total_units") - F.col("scrap_units"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillfloor import params as P
 from tillfloor import schemas
-from tillfloor.functions import exact_round, money_sum, ratio
+from tillfloor.functions import exact_round, line_count, ratio, revenue_sum
 from tillfloor.session import stage
 
 
@@ -25,7 +25,7 @@ def price_counts(sales: DataFrame) -> DataFrame:
     with a third of all lines costs no more than any other.
     """
     return sales.where(F.col("quantity") > 0).groupBy("product", "unit_price").agg(
-        F.count("*").alias("lines"), F.sum("quantity").alias("units")
+        line_count(sales).alias("lines"), F.sum("quantity").alias("units")
     )
 
 
@@ -51,7 +51,7 @@ def coverage(sales: DataFrame, kept: DataFrame) -> DataFrame:
     """Share of all units and revenue that the kept products cover."""
     flags = kept.select(F.col("product_name").alias("product"), F.lit(True).alias("kept"))
     totals = sales.groupBy("product").agg(
-        F.sum("quantity").alias("units"), money_sum(F.col("revenue")).alias("revenue")
+        F.sum("quantity").alias("units"), revenue_sum(sales).alias("revenue")
     )
     covered = totals.join(flags, "product", "left")
     return covered.agg(
@@ -89,7 +89,7 @@ def price_audit(sales: DataFrame, names: Sequence[str] | None = None) -> DataFra
     if names is not None:
         sales = sales.where(F.col("product").isin(*names))
     by_price = sales.groupBy("product", "unit_price").agg(
-        F.count("*").alias("lines"), F.sum("quantity").alias("units")
+        line_count(sales).alias("lines"), F.sum("quantity").alias("units")
     )
     low, high = F.min("unit_price"), F.max("unit_price")
     return (

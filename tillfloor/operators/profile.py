@@ -10,9 +10,10 @@ from tillfloor.functions import exact_quantiles, exact_round
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def shape(df: DataFrame) -> DataFrame:
+def shape(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Rows and columns. A table whose attributes are joined in is counted without them."""
     return df.agg(F.count("*").alias("row_count")).withColumn(
-        "column_count", F.lit(len(df.columns))
+        "column_count", F.lit(len(df.columns) if columns is None else columns)
     )
 
 
@@ -39,17 +40,19 @@ def duplicates(df: DataFrame) -> DataFrame:
 def value_range(
     df: DataFrame, date: str, name: str, quantity: Column, zero_price: Column
 ) -> DataFrame:
-    """Date range, distinct names, negative quantities and zero prices."""
+    """Date range, unreadable dates, distinct names, negative quantities and zero prices."""
     day = F.col(date).try_cast("date")
     by_name = df.groupBy(name).agg(
         F.min(day).alias("first"),
         F.max(day).alias("last"),
+        F.count_if(F.col(date).isNotNull() & day.isNull()).alias("unreadable"),
         F.count_if(quantity < 0).alias("negative"),
         F.count_if(zero_price).alias("free"),
     )
     return by_name.agg(
         F.min("first").alias("min_date"),
         F.max("last").alias("max_date"),
+        F.sum("unreadable").alias("unreadable_dates"),
         F.count(name).alias("products"),
         F.sum("negative").alias("negative_quantities"),
         F.sum("free").alias("zero_prices"),

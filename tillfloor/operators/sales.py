@@ -16,11 +16,13 @@ from tillfloor.functions import (
     day_name,
     exact_round,
     global_ranks,
+    line_count,
     money,
     money_round,
     money_sum,
     month_start,
     ratio,
+    revenue_sum,
 )
 from tillfloor.functions.ordered import running_share
 from tillfloor.session import stage
@@ -30,8 +32,8 @@ from tillfloor.sources.inline import weekday_table
 def by_product(sales: DataFrame) -> DataFrame:
     return sales.groupBy("product").agg(
         F.sum("quantity").alias("units"),
-        money_sum(F.col("revenue")).alias("revenue"),
-        F.count("*").alias("lines"),
+        revenue_sum(sales).alias("revenue"),
+        line_count(sales).alias("lines"),
     )
 
 
@@ -42,10 +44,11 @@ def by_day(sales: DataFrame) -> DataFrame:
 
 
 def totals(sales: DataFrame) -> DataFrame:
-    """Rows, distinct products and revenue, from the product totals."""
+    """Rows, distinct products, units and revenue, from the product totals."""
     return by_product(sales).agg(
         F.sum("lines").alias("total_rows"),
         F.count("product").alias("products"),
+        F.sum("units").alias("total_units"),
         money_round(F.sum("revenue")).alias("total_revenue"),
     )
 

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tillfloor.operators import checks, clean, planning, product, sales
-from tillfloor.plans.star import kpi_views, register_views, sales_views
+from tillfloor.plans.star import kpi_views, oee_views, register_views, sales_views
 from tillfloor.sources.csv import load_fact, read_raw_sales
 from tillfloor.sources.inline import machine_table, standards_table
-from tillfloor.sources.sinks import replace_table, write_csv
+from tillfloor.sources.sinks import commit_version, new_version, write_csv
 
 FACTS = ("fact_production_batch", "fact_downtime", "fact_quality_inspection")
 
@@ -24,17 +24,26 @@ class Build:
     views: dict[str, DataFrame]
     checks: DataFrame
     rows: dict[str, int]
+    folder: str
+    report: list[str]
+    published: bool
 
 
 def _table(df: DataFrame, out: str, name: str) -> DataFrame:
     """Write a table once; everything downstream reads the file."""
     path = f"{out}/{name}"
-    replace_table(df, path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def build(spark: SparkSession, till_csv: str, fact_folder: str, out: str) -> Build:
-    """Clean the sales, build the dimensions, load the facts, derive every view."""
+def build(spark: SparkSession, till_csv: str, fact_folder: str, target: str) -> Build:
+    """Clean the sales, build the dimensions, load the facts, derive every view.
+
+    Everything goes to a new version folder of `target`, which becomes the current one
+    only when every check passes; a failure leaves the last good build in place.
+    """
+    version = new_version()
+    out = f"{target}/{version}"
     cleaned = _table(clean.clean_sales(read_raw_sales(spark, till_csv)), out, "clean_sales")
     write_csv(cleaned, f"{out}/clean_sales_csv")
     lines = clean.sales_base(cleaned)
@@ -54,6 +63,10 @@ def build(spark: SparkSession, till_csv: str, fact_folder: str, out: str) -> Bui
     demand = sales.daily_demand(lines, products)
     plant = planning.plant_demand(demand)
 
+    kpis = kpi_views(batches, stops, products, machines)
+    # read by the identity and OEE checks and by three views: computed once
+    kpis["v_batch_oee"] = _table(kpis["v_batch_oee"], out, "v_batch_oee")
+    kpis |= oee_views(kpis["v_batch_oee"])
     views = {
         **sales_views(lines),
         "dim_product": products,
@@ -62,7 +75,7 @@ def build(spark: SparkSession, till_csv: str, fact_folder: str, out: str) -> Bui
         "fact_downtime": stops,
         "fact_quality_inspection": inspections,
         "plant_demand": plant,
-        **kpi_views(batches, stops, products, machines),
+        **kpis,
     }
     register_views(views)
     every_check = (
@@ -73,7 +86,11 @@ def build(spark: SparkSession, till_csv: str, fact_folder: str, out: str) -> Bui
         .unionByName(checks.contract_checks(stops))
         .unionByName(checks.dimension_checks(products, machines))
     )
-    return Build(views, every_check, rows)
+    found = checks.report(_table(every_check, out, "checks"))
+    good = not any(line.startswith("FAIL") for line in found)
+    if good:
+        commit_version(spark, target, version)
+    return Build(views, spark.read.parquet(f"{out}/checks"), rows, out, found, good)
 
 
 def main(argv: list[str]) -> int:
@@ -81,9 +98,8 @@ def main(argv: list[str]) -> int:
     result = build(spark, *argv)
     for name, count in result.rows.items():
         print(f"  {name:<26} {count:>12,}")
-    lines = checks.report(result.checks)
-    print("\n".join(lines))
-    return int(any(line.startswith("FAIL") for line in lines))
+    print("\n".join(result.report))
+    return int(not result.published)
 
 
 if __name__ == "__main__":

@@ -40,8 +40,8 @@ def _register(name: str, build: Callable[[S.Star], DataFrame]) -> None:
     QUERIES[name] = run
 
 
-def _raw(star: S.Star) -> DataFrame:
-    return tables.raw_sales_lines(star.spark, star.data)
+def _raw(star: S.Star, product: bool = True, date: bool = True) -> DataFrame:
+    return tables.raw_sales_lines(star.spark, star.data, product, date)
 
 
 def _unpriced(star: S.Star) -> DataFrame:
@@ -86,20 +86,18 @@ def _catalog(star: S.Star) -> DataFrame:
 
 for _name, _build in {
     # profiling
-    "profile_shape": lambda s: profile.shape(_raw(s)),
+    "profile_shape": lambda s: profile.shape(_raw(s, product=False, date=False), len(_raw(s).columns)),
     "profile_nulls": lambda s: profile.nulls(_raw(s)),
     "profile_duplicates": lambda s: profile.duplicates(_raw(s)),
     "profile_range": lambda s: profile.value_range(
         _raw(s), "date", "article", F.col("Quantity"), F.col("unit_price") == "0,00 €"
     ),
-    "profile_rare_values": lambda s: profile.rare_values(_raw(s), "article"),
-    "profile_describe": lambda s: profile.describe(clean.typed_lines(_raw(s)), "unit_price"),
+    "profile_rare_values": lambda s: profile.rare_values(_raw(s, date=False), "article"),
+    "profile_describe": lambda s: profile.describe(clean.price_text(_raw(s, date=False)), "unit_price"),
     # cleaning
-    "clean_price_text": lambda s: clean.typed_lines(_raw(s)).select(
-        "ticket_number", "article", "unit_price"
-    ),
+    "clean_price_text": lambda s: clean.price_text(_raw(s, date=False)),
     "clean_sales": lambda s: clean.clean_sales(_raw(s)),
-    "clean_funnel": lambda s: clean.clean_funnel(_raw(s)),
+    "clean_funnel": lambda s: clean.clean_funnel(_raw(s, date=False)),
     "sales_base": lambda s: clean.sales_base(clean.clean_sales(_raw(s))),
     "exclude_catchall": lambda s: sales.top_products(
         clean.without_catchall(s.product_sales, prefix=tables.CATCHALL_PREFIX), "units"
@@ -110,7 +108,9 @@ for _name, _build in {
     "kpi_weekday": lambda s: sales.weekday_performance(s.tickets),
     "kpi_month": lambda s: sales.monthly(s.tickets),
     "kpi_hour": lambda s: sales.hourly(s.tickets),
-    "ticket_averages": lambda s: sales.ticket_averages(s.product_sales),
+    "ticket_averages": lambda s: sales.ticket_averages(
+        tables.sales_lines(s.spark, s.data, date=False)
+    ),
     "top_products_units": lambda s: sales.top_products(s.product_sales, "units"),
     "top_products_revenue": lambda s: sales.top_products(s.product_sales, "revenue"),
     "units_vs_revenue_rank": lambda s: sales.rank_units_and_revenue(s.product_sales),
@@ -125,6 +125,7 @@ for _name, _build in {
     "weekend_ratio": lambda s: sales.weekend_ratio(s.tickets),
     "dashboard_daily": lambda s: sales.dashboard_daily(s.sales),
     "daily_demand": lambda s: s.demand,
+    "trading_days": lambda s: sales.trading_days(s.demand),
     # product master
     "top30_products": lambda s: product.top_by_units(
         s.product_sales.where("quantity > 0").withColumnRenamed("quantity", "units")
@@ -193,7 +194,9 @@ for _name, _build in {
         "downtime_id", "batch_id", "duration_minutes",
         exact_round(F.col("capped_minutes"), 6).alias("capped_minutes"),
     ),
-    "stop_intervals": lambda s: planning.stop_intervals(s.stops, s.batches).select(
+    "stop_intervals": lambda s: planning.stop_intervals(
+        planning.stop_cap(s.stops, s.batches), s.batches
+    ).select(
         "downtime_id", "batch_id", "laid_start_ts", "laid_end_ts"
     ),
     "run_time": lambda s: planning.run_time(s.batches, s.stops, s.products).select(
@@ -203,7 +206,9 @@ for _name, _build in {
     "round_durations": lambda s: planning.round_durations(s.stops).select(
         "downtime_id", "duration_minutes", "rounded_minutes"
     ),
-    "scrap_costop": lambda s: planning.scrap_with_stops(_rated_batches(s), s.stops, s.products).select(
+    "scrap_costop": lambda s: planning.scrap_with_stops(
+        _rated_batches(s), planning.stop_cap(s.stops, s.batches), s.products
+    ).select(
         "batch_id", "long_stops", "scrap_rate", "scrap_units", "good_units"
     ),
     "inspection_sample": lambda s: s.inspections.drop("inspection_ts"),

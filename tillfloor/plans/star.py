@@ -35,8 +35,8 @@ class Star:
 
     @cached_property
     def product_sales(self) -> DataFrame:
-        """Sales lines without the ticket header: no join to the orders."""
-        return T.sales_lines(self.spark, self.data, date=False)
+        """Sales summed by part: what a figure by product needs."""
+        return T.part_sales(self.spark, self.data)
 
     @cached_property
     def tickets(self) -> DataFrame:
@@ -133,10 +133,17 @@ def kpi_views(
     batch = oee.batch_oee(batches, products, machines, stops)
     return {
         "v_batch_oee": batch,
-        "v_oee_daily": oee.oee_daily(batch),
-        "v_scrap_by_product": oee.scrap_by_product(batch),
+        **oee_views(batch),
         "v_downtime_pareto": downtime.downtime_pareto(stops, machines),
         "v_dq_reason_coding": downtime.reason_coding(stops),
+    }
+
+
+def oee_views(batch: DataFrame) -> dict[str, DataFrame]:
+    """The views over the batch OEE."""
+    return {
+        "v_oee_daily": oee.oee_daily(batch),
+        "v_scrap_by_product": oee.scrap_by_product(batch),
         "v_dq_unaccounted_time": downtime.unaccounted_time(batch),
     }
 

@@ -45,7 +45,7 @@ CLEAN_SALES = _struct(
 DIM_PRODUCT = _struct(
     product_id=INT, product_name=TEXT, product_category=TEXT, process_type=TEXT,
     machine_id=INT, units_per_full_load=INT, bake_minutes=REAL,
-    unit_cost_eur=T.DecimalType(8, 2), ideal_units_per_hr=REAL, v1_total_units=INT,
+    unit_cost_eur=T.DecimalType(8, 2), ideal_units_per_hr=REAL, v1_total_units=LONG,
 )
 
 DIM_MACHINE = _struct(
@@ -66,10 +66,10 @@ WEEKDAYS = _struct(weekday_no=INT, day_of_week=TEXT)
 REASONS = _struct(reason_code=TEXT, reason_label=TEXT)
 
 FACT_BATCH = _struct(
-    batch_id=TEXT, production_date=DATE, product_id=INT, machine_id=INT, planned_units=INT,
+    batch_id=TEXT, production_date=DATE, product_id=LONG, machine_id=INT, planned_units=LONG,
     loads_used=REAL, scheduled_start_ts=TIME, scheduled_end_ts=TIME,
     planned_production_minutes=REAL, actual_start_ts=TIME, actual_end_ts=TIME,
-    run_time_minutes=REAL, good_units=INT, scrap_units=INT,
+    run_time_minutes=REAL, good_units=LONG, scrap_units=LONG,
 )
 
 FACT_DOWNTIME = _struct(

@@ -25,17 +25,32 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def staging_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
+    """A folder of this application inside the shared one that spark.checkpoint.dir names.
+
+    Only a single-process local session may go without the setting: it gets a temporary
+    folder that ends with the process. The caller's session is left as it is.
+    """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tillfloor-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        context.setCheckpointDir(shared)
-    return shared
+        if context.applicationId not in _local_folders:
+            made = tempfile.mkdtemp(prefix="tillfloor-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _local_folders[context.applicationId] = made
+        shared = _local_folders[context.applicationId]
+    return f"{shared.rstrip('/')}/tillfloor-{context.applicationId}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete what this application has staged. Results read from it must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -43,9 +58,8 @@ def stage(df: DataFrame) -> DataFrame:
 
     For a result that several branches of one query need: the branches share one
     pass over the source, each reads only the columns it uses, joins know its
-    size, and a lost executor costs a file read. The files stay in the folder,
-    whose owner clears it like any checkpoint.
+    size, and a lost executor costs a file read. `clear_staging` removes the files.
     """
-    path = f"{staging_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{staging_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,8 @@ from tillfloor import schemas
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Create or replace a table from a query. Static overwrite drops all old rows."""
+    """Create or replace a folder from a query. Static overwrite drops all old rows first, so
+    a failed write loses them: what readers depend on goes through `publish_if_valid`."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
@@ -58,16 +61,60 @@ def add_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+# --- versions: nothing that can be read is ever overwritten
+
+POINTER = T.StructType([T.StructField("number", T.LongType()), T.StructField("version", T.StringType())])
+
+
+def new_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that was committed last, or None where none was."""
+    try:
+        log = spark.read.schema(POINTER).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    row = log.orderBy(F.desc("number"), "version").first()
+    return row and row.version
+
+
+def commit_version(spark: SparkSession, path: str, version: str) -> None:
+    """Make a complete version the current one: one row more in a small log.
+
+    The row's file appears whole or not at all, so readers see the old version
+    or the new one. Old versions stay until their owner removes them.
+    """
+    numbers = 0
+    if current_version(spark, path) is not None:
+        log = spark.read.schema(POINTER).parquet(f"{path}/versions")
+        numbers = log.agg(F.max("number")).first()[0]
+    row = spark.createDataFrame([(numbers + 1, version)], POINTER)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise LookupError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def publish_if_valid(
-    df: DataFrame, staging: str, target: str, checks: Callable[[DataFrame], DataFrame]
+    df: DataFrame, path: str, checks: Callable[[DataFrame], DataFrame] | None = None
 ) -> None:
-    """Write to staging, check what was written, and only then replace the target.
+    """Write a new version, check what was written, and only then make it the current one.
 
-    A failed check raises and leaves the target as it was.
+    A failed write or check raises; readers go on with the version they had.
     """
     from tillfloor.operators.checks import require_passed
 
-    replace_table(df, staging)
-    staged = df.sparkSession.read.parquet(staging)
-    require_passed(checks(staged))
-    replace_table(staged, target)
+    version = new_version()
+    df.write.parquet(f"{path}/{version}")
+    if checks is not None:
+        require_passed(checks(df.sparkSession.read.parquet(f"{path}/{version}")))
+    commit_version(df.sparkSession, path, version)

@@ -95,6 +95,26 @@ def sales_lines(
     return lines.select(*columns)
 
 
+def part_sales(spark: SparkSession, data: str) -> DataFrame:
+    """Sales by part, for figures by product or price: `lines` says how many lines a row stands for.
+
+    Lines combine map-side by part, sold and returned ones apart, before the part joins: the
+    join sees unique keys, and revenue is exact decimal arithmetic on few rows.
+    """
+    lines = (
+        table(spark, data, "lineitem")
+        .groupBy("l_partkey", (F.col("l_quantity") > 0).alias("sold"))
+        .agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
+    )
+    part = table(spark, data, "part").select(
+        "p_partkey", F.col("p_name").alias("product"), _price(F.col("p_retailprice")).alias("unit_price")
+    )
+    revenue = F.col("quantity").cast("decimal(18,2)") * F.col("unit_price").cast("decimal(14,2)")
+    return lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+        "product", "unit_price", "quantity", "lines", revenue.cast("decimal(32,4)").alias("revenue")
+    )
+
+
 def ticket_sales(spark: SparkSession, data: str, price: bool = True) -> DataFrame:
     """Sales by ticket, for figures that need the date but no product.
 
@@ -114,36 +134,42 @@ def ticket_sales(spark: SparkSession, data: str, price: bool = True) -> DataFram
     )
 
 
-def raw_sales_lines(spark: SparkSession, data: str) -> DataFrame:
-    """The same lines as a till export: text price and date, returns, free items."""
-    price = F.when(F.col("p_size") == 1, F.lit(0.0)).otherwise(_price(F.col("p_retailprice")))
-    digits = F.replace(price.cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))
-    part = table(spark, data, "part").select(
-        "p_partkey",
-        F.col("p_name").alias("article"),
-        F.concat(digits, F.lit(" €")).alias("unit_price"),
-    )
-    hour = (F.lit(6) + F.col("o_orderkey") % 14).cast("string")
-    orders = table(spark, data, "orders").select(
-        "o_orderkey",
-        F.to_date("o_orderdate").cast("string").alias("date"),
-        F.concat(F.lpad(hour, 2, "0"), F.lit(":00")).alias("time"),
-    )
+def raw_sales_lines(
+    spark: SparkSession, data: str, product: bool = True, date: bool = True
+) -> DataFrame:
+    """The same lines as a till export: text price and date, returns, free items.
+
+    `product` and `date` say which attributes are needed; others cost no join.
+    """
+    lines = table(spark, data, "lineitem")
     returned = F.col("l_returnflag") == "R"
-    return (
-        table(spark, data, "lineitem")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .select(
-            "date",
-            "time",
-            F.col("l_orderkey").cast("double").alias("ticket_number"),
-            "article",
-            F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-            .alias("Quantity"),
-            "unit_price",
+    columns = []
+    if date:
+        hour = (F.lit(6) + F.col("o_orderkey") % 14).cast("string")
+        orders = table(spark, data, "orders").select(
+            "o_orderkey",
+            F.to_date("o_orderdate").cast("string").alias("date"),
+            F.concat(F.lpad(hour, 2, "0"), F.lit(":00")).alias("time"),
+        )
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        columns += [F.col("date"), F.col("time")]
+    columns.append(F.col("l_orderkey").cast("double").alias("ticket_number"))
+    if product:
+        price = F.when(F.col("p_size") == 1, F.lit(0.0)).otherwise(_price(F.col("p_retailprice")))
+        digits = F.replace(price.cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))
+        part = table(spark, data, "part").select(
+            "p_partkey",
+            F.col("p_name").alias("article"),
+            F.concat(digits, F.lit(" €")).alias("unit_price"),
         )
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        columns.append(F.col("article"))
+    columns.append(
+        F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("Quantity")
     )
+    if product:
+        columns.append(F.col("unit_price"))
+    return lines.select(*columns)
 
 
 def _by_noun(name: Column, values: dict) -> Column:
@@ -200,9 +226,9 @@ def batches(spark: SparkSession, data: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.min("l_partkey").alias("product_id"),
-            F.sum("l_quantity").cast("int").alias("total_units"),
+            F.sum("l_quantity").cast("bigint").alias("total_units"),
             F.expr("sum(cast(l_quantity as bigint) * cast(round(l_tax * 100) as bigint)) div 100")
-            .cast("int").alias("scrap_units"),
+            .alias("scrap_units"),
             F.max("l_discount").cast("decimal(4,2)").alias("stopped_share"),
         )
     )
@@ -249,11 +275,16 @@ def batches(spark: SparkSession, data: str) -> DataFrame:
 
 
 def stops(spark: SparkSession, data: str) -> DataFrame:
-    """One stop for each event; its batch is one of the first thousand orders."""
+    """One stop for each event, on a batch drawn from the whole range of order keys.
+
+    The bound comes from the orders, so stops spread as the orders grow. Orders without
+    lines have no batch: their stops are the orphans that the checks report.
+    """
     micro = F.col("value") < P.PARAMS.logged_from_minutes
     causes = F.create_map(*[F.lit(x) for pair in REASON_BY_EVENT.items() for x in pair])
     labels = F.create_map(*[F.lit(x) for pair in P.REASON_LABELS.items() for x in pair])
-    order_key = F.col("event_id") % 1000
+    bound = table(spark, data, "orders").select(F.max("o_orderkey") + 1).scalar()
+    order_key = (F.col("event_id") * 7919 + F.col("user_id") * 31) % bound
     miscoded = (
         (F.col("true_reason_code") == P.UNCATEGORISED_CODE)
         | ((F.col("value") < 10) & (F.col("event_id") % 2 == 0))
