@@ -6,9 +6,10 @@ bucket. At 0.8 similarity a pair misses every bucket with probability (1 - 0.8^4
 
 No bucket emits all its pairs. In each round up to `CENTERS` members of every bucket (the smallest ids in
 as many hash slots) are compared with the bucket's other members, and are done there. Links found so far
-are joined to components; a bucket goes on while members of two components are left in
-it. So a group of copies costs a few pairs for each member, and no link that could join
-two components is left out.
+are joined to components; where members of two components are left in a bucket, it is split
+by every further band that some of them share, and goes on. So a group of copies costs a few
+pairs for each member, texts that share a band by chance are parted, and a link that could join two components
+stays in some bucket, since a pair at the threshold shares 13 of the 32 bands on average.
 
 A pair is verified in steps: batches of the signature are compared, and after each one the pair is dropped when
 the posterior probability that its similarity reaches the threshold (uniform prior) is
@@ -178,6 +179,28 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     return stage(full.mapInArrow(_confirmed(threshold), "a long, b long"))
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """Members of the buckets that have two or more."""
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return members.join(several, "bucket")
+
+
+def _refined(members: DataFrame, of_node: DataFrame, bands: DataFrame) -> DataFrame:
+    """Members of buckets that still hold two components, by one further shared band each.
+
+    A pair at the threshold that shares some bands shares another with probability
+    1 - (1 - 0.8^4)^(BANDS - 1) or so; pairs far below it are parted.
+    """
+    at = members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node"))
+    mixed = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
+    left = stage(members.join(mixed.select("bucket"), "bucket"))
+    own = bands.join(left.select("node").distinct(), "node", "left_semi")
+    further = left.join(own, "node").filter(~F.array_contains("bucket", F.col("band")))
+    return _shared(
+        further.select("node", F.array_sort(F.concat("bucket", F.array("band"))).alias("bucket")).distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -197,9 +220,8 @@ def near_duplicates(
     nodes = stage(own.select("node", "digest", "signature", "bands"))
     # the text that the id's set is of; ids repeated with other texts are told apart by the set itself
     texts = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = stage(members.join(shared, "bucket"))
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    members = stage(_shared(bands.select("node", F.array("band").alias("bucket"))))
     links = None
     of_node = None
     while True:
@@ -225,7 +247,8 @@ def near_duplicates(
         found = verified_links(pairs, nodes, texts, k, threshold, miss)
         links = found if links is None else stage(links.union(found).distinct())
         of_node = stage(components(links))
-        members = stage(met.filter(~F.array_contains("centers", F.col("node"))).select("bucket", "node"))
+        rest = met.filter(~F.array_contains("centers", F.col("node"))).select("bucket", "node")
+        members = stage(_refined(rest, of_node, bands))
     out = ids.join(reps, "digest", "left")
     if of_node is not None:
         out = out.join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
