@@ -4,8 +4,8 @@ A document's set is its distinct k-word shingles. Equal sets are one node, repre
 Signatures of `BANDS * ROWS` minima are cut into bands; documents that share a band meet in a
 bucket. At 0.8 similarity a pair misses every bucket with probability (1 - 0.8^4)^32, or 5e-8.
 
-No bucket emits all its pairs. In each round up to `CENTERS` members of every bucket (the smallest ids in
-as many hash slots) are compared with the bucket's other members, and are done there. Links found so far
+No bucket emits all its pairs. In each round one member of every bucket (later the smallest and
+largest ids of `CENTERS` hash slots, which is every member of most buckets) is compared with the bucket's other members, and is done there. Links found so far
 are joined to components; where members of two components are left in a bucket, it is split
 by every further band that some of them share, and goes on. So a group of copies costs a few
 pairs for each member, texts that share a band by chance are parted, and a link that could join two components
@@ -39,7 +39,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Chance that a pair at the threshold is dropped by one batch bound.
 MISS = 1e-6
-CENTERS = 16
+CENTERS = 32
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -224,14 +224,17 @@ def near_duplicates(
     members = stage(_shared(bands.select("node", F.array("band").alias("bucket"))))
     links = None
     of_node = None
+    slots = 1
     while True:
         at = members.withColumn("at", F.col("node"))
         if of_node is not None:
             at = members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
-        slot = F.pmod(F.xxhash64("node"), F.lit(CENTERS))
+        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
         buckets = at.groupBy("bucket").agg(
             F.min("at").alias("low"), F.max("at").alias("high"),
-            F.array_compact(F.array(*(F.min(F.when(slot == i, F.col("node"))) for i in range(CENTERS)))).alias("centers"),
+            F.array_distinct(F.array_compact(F.array(
+                *(of(F.when(slot == i, F.col("node"))) for i in range(slots) for of in ((F.min, F.max) if slots > 1 else (F.min,)))
+            ))).alias("centers"),
         )
         open_ = stage(buckets.filter("low < high").select("bucket", "centers"))
         met = stage(at.join(open_, "bucket"))
@@ -248,7 +251,9 @@ def near_duplicates(
         links = found if links is None else stage(links.union(found).distinct())
         of_node = stage(components(links))
         rest = met.filter(~F.array_contains("centers", F.col("node"))).select("bucket", "node")
-        members = stage(_refined(rest, of_node, bands))
+        # one centre joins a group of copies; what is left then is compared and split
+        members = stage(_refined(rest, of_node, bands)) if slots > 1 else rest
+        slots = CENTERS
     out = ids.join(reps, "digest", "left")
     if of_node is not None:
         out = out.join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
