@@ -56,18 +56,17 @@ def digest_of(own: np.ndarray) -> str:
 
 
 def _sets(k: int):
-    """(doc_id, set) of each (doc_id, text, digest) whose text has that set: an id may have other texts."""
+    """(doc_id, mark, set digest, set) of each (doc_id, text, mark)."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                own = [(i, shingle_set(t or b"", k)) for i, t in enumerate(texts)]
-                kept = [(i, x.tobytes()) for i, x in own if digest_of(x) == part.column(2)[i].as_py()]
+                own = [shingle_set(t or b"", k) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array([i for i, _ in kept], pa.int64())), pa.array([x for _, x in kept], pa.binary())],
-                    names=["doc_id", "own"],
+                    [part.column(0), part.column(2), pa.array([digest_of(x) for x in own]),
+                     pa.array([x.tobytes() for x in own], pa.binary())],
+                    names=["doc_id", "mark", "digest", "own"],
                 )
 
     return run
@@ -161,16 +160,24 @@ def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the threshold; texts are (doc_id, text) of the nodes."""
-    sig = nodes.select("node", "signature")
+    # everything a join below reads is written first and cut to the nodes in question, so
+    # that Spark sees how small it is, and no round shuffles all signatures or all texts
+    pairs = stage(pairs)
+    ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sig = stage(nodes.select("node", "signature").join(ends, "node"))
     both = (
         pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a")
         .join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
         .select("a", "b", "sa", "sb")
     )
     alive = stage(both.mapInArrow(_pruned(threshold, miss), "a long, b long"))
-    ends = alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct()
-    wanted = nodes.select("node", "digest").join(ends, "node").withColumnRenamed("node", "doc_id")
-    sets = stage(texts.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets(k), "doc_id long, own binary"))
+    ends = stage(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct())
+    marks = nodes.select(F.col("node").alias("doc_id"), F.xxhash64("digest").alias("mark"))
+    wanted = stage(marks.join(ends.withColumnRenamed("node", "doc_id"), "doc_id"))
+    sets = texts.join(wanted, "doc_id").select("doc_id", "text", "mark")
+    sets = sets.mapInArrow(_sets(k), "doc_id long, mark long, digest string, own binary")
+    # an id may have other texts
+    sets = stage(sets.filter(F.xxhash64("digest") == F.col("mark")).select("doc_id", "own"))
     full = (
         alive.join(sets.withColumnsRenamed({"doc_id": "b", "own": "ob"}), "b")
         .join(sets.withColumnsRenamed({"doc_id": "a", "own": "oa"}), "a")
@@ -218,8 +225,6 @@ def near_duplicates(
     reps = stage(ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")))
     own = signed.join(reps.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["node"])
     nodes = stage(own.select("node", "digest", "signature", "bands"))
-    # the text that the id's set is of; ids repeated with other texts are told apart by the set itself
-    texts = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     members = stage(_shared(bands.select("node", F.array("band").alias("bucket"))))
     links = None
@@ -247,7 +252,7 @@ def near_duplicates(
                 .filter(F.coalesce("ca", "a") != F.col("at"))
             )
         pairs = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified_links(pairs, nodes, texts, k, threshold, miss)
+        found = verified_links(pairs, nodes, rows, k, threshold, miss)
         links = found if links is None else stage(links.union(found).distinct())
         of_node = stage(components(links))
         rest = met.filter(~F.array_contains("centers", F.col("node"))).select("bucket", "node")
