@@ -136,6 +136,9 @@ def mix(
 
 def _read(rows: DataFrame, times: DataFrame) -> DataFrame:
     """Each row as often as it is to be read. Rows equal in every column stand for each other."""
-    once = rows.join(times.filter("copies = 1"), ["source_", "order_"])
-    equal = rows.join(times.filter("copies > 1"), ["source_", "order_"]).dropDuplicates(["source_", "order_"])
-    return once.union(equal).withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
+    keys = ["source_", "order_"]
+    out = rows.join(times.filter("copies = 1"), keys)
+    equal = stage(times.filter("copies > 1"))
+    if not equal.isEmpty():
+        out = out.union(rows.join(equal, keys).dropDuplicates(keys))
+    return out.withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
