@@ -202,10 +202,11 @@ def _refined(members: DataFrame, of_node: DataFrame, bands: DataFrame) -> DataFr
     mixed = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
     left = stage(members.join(mixed.select("bucket"), "bucket"))
     own = bands.join(left.select("node").distinct(), "node", "left_semi")
-    further = left.join(own, "node").filter(~F.array_contains("bucket", F.col("band")))
-    return _shared(
-        further.select("node", F.array_sort(F.concat("bucket", F.array("band"))).alias("bucket")).distinct()
-    )
+    # few rows come in and BANDS times as many go out: dealt to all tasks, whatever their size
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    further = left.repartition(n, "node").join(own, "node").filter(~F.array_contains("bucket", F.col("band")))
+    split = further.select("node", F.array_sort(F.concat("bucket", F.array("band"))).alias("bucket")).distinct()
+    return _shared(stage(split))
 
 
 def near_duplicates(
