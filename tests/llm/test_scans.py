@@ -157,6 +157,21 @@ def test_the_field_finds_forms_that_the_patterns_miss():
     assert spans == "email:5:20,ip:24:32"
 
 
+def test_spelled_addresses_are_found_without_a_digit_or_an_at_sign():
+    train = []
+    for i in range(40):
+        train += pii.examples_of(f"please call us at +1 ({200 + i}) 555-{1000 + i} today, or not")
+        train += pii.examples_of(f"write to name{i}@mail{i}.example.org about it")
+        train += pii.examples_of("write to jane.doe@example.org about it")
+    find = pii.find(pii.train(train))
+    filler = "nothing to see here, only words. " * 9
+    for form in ("jane.doe (at) example.com", "jane.doe[at]example.com", "jane.doe at example.com", "Jane (AT) mail.example.com"):
+        text = f"{filler}write to {form} about it. {filler}"
+        at = text.index(form)
+        assert find(text.encode())[5] == f"email:{at}:{at + len(form)}", form
+    assert find(f"{filler}we looked at it, then left at noon. {filler}".encode())[5] == ""
+
+
 @pytest.mark.parametrize("scan", [
     lambda d: secret_scan.digest(secret_scan.secret_spans(d)), license_scan.license_scan, pii.pii_spans,
 ])

@@ -1,7 +1,7 @@
 """Personal data: a semi-Markov conditional random field over whole candidate spans.
 
 Base spans come from four fixed patterns. A semi-Markov CRF then reads the stretches of text
-around digits and at-signs: a stretch is cut into units (digit runs, letter runs,
+around digits, at-signs and spelled-out ones ('(at)', '[at]', ' at ' before a dotted word): a stretch is cut into units (digit runs, letter runs,
 single other characters), every run of up to `MAX_UNITS` units that could be an entity is scored
 as a whole by its features and type, and dynamic programming picks boundaries and types
 together. Decoded spans that touch no base span are added; base spans always stay.
@@ -39,6 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every ip, card or phone lies in one such stretch.
 _STRETCH = re.compile(r"[0-9+][0-9\x20().+-]*")
 _TRIGGER = re.compile(r"[0-9@]")
+#: What a spelled-at address has instead of '@': a bracketed at, or an at that a dotted word follows. Triggers of the field alone.
+_OPENS = re.compile(r"[0-9@]|[(\[]\x20?(?i:at)\x20?[)\]]|(?<=\x20)(?i:at)(?=\x20[A-Za-z0-9-]+\.[A-Za-z0-9])")
+_SPELLED_AT = re.compile(r"\x20?[(\[]\x20?at\x20?[)\]]\x20?|\x20at\x20", re.I)
 
 MAX_UNITS = 16
 AROUND = 48
@@ -89,7 +92,7 @@ FEATURES = (
     "four_groups", "octets", "dots_only", "dashes", "spaces", "mixed_marks", "digits_7_8", "digits_9_11",
     "digits_12_15", "digits_16", "digits_17_19", "groups_1", "groups_2_3", "groups_4", "groups_5", "group_of_4_last",
     "equal_groups", "left_open", "right_open", "left_glued", "right_glued", "long_tail", "cue_phone", "cue_mail",
-    "cue_card", "cue_ip",
+    "cue_card", "cue_ip", "unbroken_parts", "runs_on",
 )
 _AT = {name: i for i, name in enumerate(FEATURES)}
 # Words that announce a kind.
@@ -112,7 +115,7 @@ def units_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 def regions(text: str) -> list[tuple[int, int]]:
     """Stretches around the triggers, cut at white space where one is near; none overlap."""
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in _OPENS.finditer(text):
         at = m.start()
         if out and at < out[-1][1] - AROUND // 2:
             continue
@@ -149,7 +152,8 @@ def candidates(text: str, units: list[tuple[int, int, str]]) -> list[tuple[int,
                 ats += 1
             elif k == "s":
                 marks += 1
-                if (letters and ats == 0 and marks > 2) or text[s] == "\n":
+                # a spelled at-sign has spaces and brackets of its own
+                if text[s] == "\n" or (letters and ats == 0 and marks > 2 and not _SPELLED_AT.search(text, a, e + 5)):
                     break
             elif k in _MARKS or k in "_%[]":
                 marks += 1
@@ -178,7 +182,13 @@ def _features(text, units, i, j, cue, digits, groups, ats, letters) -> list[int]
         if "." in span[span.rfind("@") :]:
             add("dot_after_at")
     elif letters:
-        add("spelled_at" if re.search(r"[\[( ]at[\]) ]", span.lower()) else "letters")
+        if m := _SPELLED_AT.search(span):
+            add("spelled_at")
+            local, domain = span[: m.start()], span[m.end() :]
+            if "." in domain:
+                add("dot_after_at")
+            if local and domain and not re.search(r"[\s(\[\])]", local + domain):
+                add("unbroken_parts")
     if letters:
         add("letters")
     else:
@@ -212,6 +222,8 @@ def _features(text, units, i, j, cue, digits, groups, ats, letters) -> list[int]
     after = units[j][2] if j < len(units) else "s"
     add("left_open" if before == "s" else "left_glued")
     add("right_open" if after in "s,.;:!?" else "right_glued")
+    if letters and j + 1 < len(units) and units[j][2] in ".-" and units[j + 1][2] in "da":
+        add("runs_on")
     if cue:
         add(cue)
     return sorted({_AT[x] for x in on})
