@@ -55,6 +55,22 @@ def test_odd_texts(spark, spoken):
     assert got[None].held_out and got[None].lang_pred == "aa"
 
 
+def test_noise_and_unlearned_languages_are_rejected(spark, spoken):
+    rng = random.Random(9)
+    other = ["wzy", "qax", "hlu", "vng"]
+    docs = []
+    for i in range(40):
+        n = rng.randrange(20, 60)
+        docs += [
+            (2000 + i, " ".join("".join(rng.choice(other) for _ in range(rng.randrange(1, 4))) for _ in range(n)), None, "s"),
+            (3000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(6 * n)), None, "s"),
+            (4000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3 * n)), None, "s"),
+        ]
+    got = language_id.identify_languages(frame(spark, spoken + docs)).collect()
+    assert all(r.rejected for r in got if r.doc_id >= 2000)
+    assert sum(r.rejected for r in got if r.doc_id < 2000) <= 0.01 * len(spoken)
+
+
 def test_nothing_learned(spark):
     got = language_id.identify_languages(frame(spark, [(1, "some text"), (2, None)])).collect()
     assert {(r.lang_pred, r.score, r.rejected) for r in got} == {("und", 0.0, True)}

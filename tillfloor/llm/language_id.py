@@ -3,8 +3,10 @@
 A text is a vector of hashed letter trigrams (bytes of the lower-cased text; what is no letter is
 a space), weighted by log term frequency and inverse document frequency, and normalised. Each language has up to
 `centroids` unit vectors, found by spherical k-means. A text takes the language of the centroid with the
-largest cosine, which is its score, and is rejected where that cosine lies below the centroid's floor: a fifth of the
-smallest cosine that the centroid's own training texts have.
+largest cosine, which is its score, and is rejected where that cosine lies below the centroid's floor: the quantile `miss` of
+the cosines that its own training texts have, or all those of its language where its own are too few to show that
+quantile. So about `miss` of the texts of learned languages are rejected. A language that shares most trigrams with a learned one
+can lie above the floor.
 
 Document frequencies count every training row. The centroids are fitted on a bounded sample: about
 `sample` training rows for each language, and never more than twice that on the whole. Training rows
@@ -51,8 +53,14 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def spherical_means(rows: np.ndarray, k: int, passes: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Up to k unit centroids, from far-apart seeds, and each one's smallest own cosine."""
+def low_quantile(cosines: np.ndarray, miss: float) -> float:
+    """The value that about `miss` of further such cosines lie below; towards 0 where that is less than one of these."""
+    at = miss * (len(cosines) + 1)
+    return float(np.interp(at, np.arange(len(cosines) + 1), np.concatenate([[0.0], np.sort(np.maximum(cosines, 0.0))])))
+
+
+def spherical_means(rows: np.ndarray, k: int, miss: float, passes: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """Up to k unit centroids, from far-apart seeds, and each one's floor."""
     seeds = [rows.mean(axis=0)]
     near = rows @ (seeds[0] / max(np.linalg.norm(seeds[0]), 1e-12))
     at = [int(near.argmax())]
@@ -69,7 +77,9 @@ def spherical_means(rows: np.ndarray, k: int, passes: int = 15) -> tuple[np.ndar
     cosines = rows @ means.T
     own = cosines.argmax(axis=1)
     used = [i for i in range(len(means)) if (own == i).any()]
-    return means[used], np.array([cosines[own == i, i].min() for i in used])
+    whole = low_quantile(cosines.max(axis=1), miss)
+    floors = [low_quantile(cosines[own == i, i], miss) if miss * ((own == i).sum() + 1) >= 1 else whole for i in used]
+    return means[used], np.array(floors)
 
 
 def document_frequencies(train: DataFrame) -> np.ndarray:
@@ -94,7 +104,7 @@ class Model:
         self.idf, self.langs, self.means, self.floors = idf, langs, means, floors
 
 
-def fit(train: DataFrame, centroids: int, sample: int, floor: float = 0.2) -> Model | None:
+def fit(train: DataFrame, centroids: int, sample: int, miss: float = 0.005) -> Model | None:
     """The model of (doc_id, text, lang) rows that all have a text and a language."""
     sizes = stage(train.groupBy("lang").count())
     n_langs = sizes.count()
@@ -129,19 +139,19 @@ def fit(train: DataFrame, centroids: int, sample: int, floor: float = 0.2) -> Mo
         counts = np.zeros((len(frame), DIMS), np.int64)
         for i, (d, c) in enumerate(zip(frame["dims"], frame["counts"], strict=True)):
             counts[i, np.frombuffer(d, np.int32)] = np.frombuffer(c, np.int32)
-        found, least = spherical_means(unit_rows(counts, idf), centroids)
+        found, floors = spherical_means(unit_rows(counts, idf), centroids, miss)
         return pd.DataFrame({
             "lang": frame["lang"].iloc[0], "mean": [m.astype(np.float32).tobytes() for m in found],
-            "least": [float(x) for x in least],
+            "floor": [float(x) for x in floors],
         })
 
     drawn = stage(some.mapInArrow(vectors, "lang string, dims binary, counts binary"))
-    rows = sorted(drawn.groupBy("lang").applyInPandas(means, "lang string, mean binary, least double").collect())
+    rows = sorted(drawn.groupBy("lang").applyInPandas(means, "lang string, mean binary, floor double").collect())
     if not rows:
         return None
     return Model(
         idf, [r.lang for r in rows], np.stack([np.frombuffer(r.mean, np.float32) for r in rows]),
-        floor * np.array([max(r.least, 0.0) for r in rows]),
+        np.array([r.floor for r in rows]),
     )
 
 
