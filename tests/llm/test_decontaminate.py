@@ -79,6 +79,17 @@ def test_proximity(spark):
     assert {r.doc_id: r.n_near_items for r in found}[3] == 0
 
 
+def test_near_items_have_all_words_of_a_window_near(spark):
+    item = "zeta yoke xray wolf vine"
+    docs = [
+        (1, item), (2, "zeta yoke xray wolf and vine"), (3, "zeta other words"), (4, "the rarest two: wolf vine"), (5, "zeta yoke xray"),
+        (8, "zeta yoke xray"),
+        (6, "zeta yoke xray wolf and then so on vine"), (7, "a zeta the yoke xray wolf vine"),
+    ]
+    found = D.decontaminate(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string"), slack=2).collect()
+    assert {r.doc_id: r.n_near_items for r in found} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0}
+
+
 def test_sql_gives_the_same(spark, cases):
     docs, items = cases
     docs = [d for d in docs if d[0] not in (None, 6)]

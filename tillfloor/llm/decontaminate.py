@@ -7,7 +7,8 @@ within each block of documents, so that the list of a rare term is a few row gro
 Search starts from the rarest terms. Of every window of an item (`width` consecutive words, or the whole
 of a shorter item) the two terms with the shortest lists are taken; the rarest one's postings give
 alignments (document, item, shift), and the next one's list, moved by its offset, is intersected
-with them on (term, document, position). A partner within `slack` words of its place makes a proximity match.
+with them on (term, document, position). Where the partner stands within `slack` words of its place, the item is near if all
+words of a window do so, each within `slack` of its place.
 Aligned ones are then intersected with the lists of all the item's terms, and runs of `width` matches are exact
 phrase occurrences. No list is gathered: every intersection is an equi-join whose key has
 document and position, so a hot term or item does not make a hot key.
@@ -95,8 +96,17 @@ def alignments(index: DataFrame, rarest: DataFrame, slack: int = 0) -> DataFrame
 
 def exact_matches(index: DataFrame, aligned: DataFrame, terms: DataFrame, width: int) -> DataFrame:
     """(doc, text_hash, item, low, high): maximal runs of document words inside occurrences of windows."""
-    aligned = aligned.filter(F.col("off") == 0).drop("off")
-    expected = aligned.join(terms.select("item", "n", "i", "term"), "item").withColumn("pos", F.col("shift") + F.col("i"))
+    return matches(index, aligned.filter(F.col("off") == 0), terms, width, 0)
+
+
+def matches(index: DataFrame, aligned: DataFrame, terms: DataFrame, width: int, slack: int) -> DataFrame:
+    """(doc, text_hash, item, low, high): places of maximal runs of item words that hold a window, each within `slack` of its place."""
+    aligned = aligned.drop("off").distinct()
+    expected = (
+        aligned.join(terms.select("item", "n", "i", "term"), "item")
+        .withColumn("off", F.explode(F.sequence(F.lit(-slack), F.lit(slack))))
+        .withColumn("pos", F.col("shift") + F.col("i") + F.col("off"))
+    )
     near = index.join(aligned.select(*DOC).distinct(), list(DOC), "left_semi")
     matched = expected.join(near, ["term", *DOC, "pos"]).select(*DOC, "item", "shift", "n", "i").distinct()
     # one group is one item laid on one place of one document: at most the item's words
@@ -121,6 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
     rarest = stage(anchors(index, terms, width))
     aligned = stage(alignments(index, rarest, slack))
     runs = stage(exact_matches(index, aligned, terms, width))
+    near = matches(index, aligned, terms, width, slack) if slack else runs
     hits = (
         runs.select(*DOC, F.explode(F.sequence("low", "high")).alias("pos"))
         .distinct()
@@ -133,7 +144,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     close = (
-        aligned.select(*DOC, "item").distinct().join(names, "item").groupBy(*DOC)
+        near.select(*DOC, "item").distinct().join(names, "item").groupBy(*DOC)
         .agg(F.count_distinct("item_id").alias("n_near_items"))
     )
     seen = close.join(hits, list(DOC), "left").join(found, list(DOC), "left")
