@@ -127,3 +127,12 @@ def test_a_proven_cutoff_rejects_junk_and_keeps_the_good(spark):
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.quality_rules(frame(spark, []), labels).collect() == []
+
+
+def test_the_cutoff_is_the_lowest_proven_one_between_steps_seen(spark):
+    step = {f"{r}_step": 10 for r in quality_rules.RATIOS}
+    rows = [(i, "en", False, *({**step, "chars_per_word_step": 50} if i == 0 else step).values()) for i in range(2400)]
+    counted = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{x} int" for x in step))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2400)], "doc_id long, quality int, toxic int")
+    got = quality_rules.thresholds(counted, labels).first()
+    assert (got.chars_per_word_cutoff, got.symbol_share_cutoff) == (11, 11)

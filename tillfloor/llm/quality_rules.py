@@ -155,6 +155,8 @@ def thresholds(counted: DataFrame, labels: DataFrame, risk: float = 0.01, miss:
             best = int(frame["step"].iloc[0]) + 1
             for step, rejected, n in zip(frame["step"], frame["rejected"], frame["n"], strict=True):
                 if upper_bound(int(rejected), int(n), miss / tests) > risk:
+                    # between this step and the last proven one no labelled good document lies
+                    best = int(step) + 1
                     break
                 best = int(step)
         return pd.DataFrame({"stratum": [frame["stratum"].iloc[0]], "ratio": [frame["ratio"].iloc[0]], "cutoff": [best]})
