@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillfloor.llm import decontaminate, language_id, license_scan, mixing, near_dedup, passages, pii, quality_rules, secret_scan, sharding
+from tillfloor.llm import (
+    decontaminate, language_id, lexical_search, license_scan, mixing, near_dedup, passages, pii, quality_rules, secret_scan, sharding,
+)
 from tillfloor.llm.common import read_table
 
 SHARDS = 24
@@ -67,7 +69,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding, op8_pii, op9_repeated_passages, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding,
+        op8_pii, op9_repeated_passages, op10_quality_rules, op13_lexical_search,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op13_lexical_search": lexical_search.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE}
