@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillfloor.llm import (
-    decontaminate, language_id, lexical_search, license_scan, mixing, near_dedup, passages, pii, quality_rules, secret_scan, sharding,
+    decontaminate, language_id, lexical_search, license_scan, mixing, near_dedup, passages, pii, quality_rules,
+    rule_ensemble, secret_scan, sharding,
 )
 from tillfloor.llm.common import read_table
 
@@ -69,6 +70,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ensemble.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -76,7 +82,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding,
-        op8_pii, op9_repeated_passages, op10_quality_rules, op13_lexical_search,
+        op8_pii, op9_repeated_passages, op10_quality_rules, op12_quality_classifier, op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
