@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillfloor.llm import (
-    decontaminate, language_id, lexical_search, license_scan, mixing, near_dedup, passages, pii, quality_rules,
+    conversation_repair, decontaminate, language_id, lexical_search, license_scan, mixing, near_dedup, passages, pii, quality_rules,
     rule_ensemble, secret_scan, sharding,
 )
 from tillfloor.llm.common import read_table
@@ -70,6 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rule_ensemble.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -82,9 +86,10 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_near_dedup, op3_secret_scan, op4_license_scan, op5_language_id, op6_mixing, op7_sharding,
-        op8_pii, op9_repeated_passages, op10_quality_rules, op12_quality_classifier, op13_lexical_search,
+        op8_pii, op9_repeated_passages, op10_quality_rules, op11_conversation_repair, op12_quality_classifier, op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
-    "op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op13_lexical_search": lexical_search.ORACLE,
+    "op1_decontaminate": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE, "op13_lexical_search": lexical_search.ORACLE,
 }
