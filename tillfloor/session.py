@@ -47,10 +47,14 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tillfloor-{context.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete what this application has staged. Results read from it must be written by then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging_folder(spark))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -60,6 +64,31 @@ def stage(df: DataFrame) -> DataFrame:
     pass over the source, each reads only the columns it uses, joins know its
     size, and a lost executor costs a file read. `clear_staging` removes the files.
     """
-    path = f"{staging_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    return _staged(df, f"{staging_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}")
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Staged results with a life span: all of them are deleted when the block ends.
+
+    What leaves the block must be staged outside it, or not read from it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{staging_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.folder)
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        return _staged(df, f"{self.folder}/{self.made}")
