@@ -4,12 +4,17 @@ A document's set is its distinct k-word shingles. Equal sets are one node, repre
 Signatures of `BANDS * ROWS` minima are cut into bands; documents that share a band meet in a
 bucket. At 0.8 similarity a pair misses every bucket with probability (1 - 0.8^4)^32, or 5e-8.
 
-No bucket emits all its pairs. In each round one member of every bucket (later the smallest and
-largest ids of `CENTERS` hash slots, which is every member of most buckets) is compared with the bucket's other members, and is done there. Links found so far
-are joined to components; where members of two components are left in a bucket, it is split
-by every further band that some of them share, and goes on. So a group of copies costs a few
-pairs for each member, texts that share a band by chance are parted, and a link that could join two components
-stays in some bucket, since a pair at the threshold shares 13 of the 32 bands on average.
+No join makes pairs. The members of a bucket that are in different components meet as one sorted run of rows,
+with a byte of each minimum, and are compared inside the task; what goes on is one row for each member of a
+bucket with a partner. These rows meet once more with their full sets, where each pair is
+confirmed unless earlier links of the run have joined it. A pair that shares several bands is tested in
+the first one only, and never if the sizes of its sets rule it out.
+
+Buckets of more than `BLOCK` members first take up to `STARS` rounds of links between each member and one centre of
+its buckets, so that a group of copies is one component after a few pairs a member. What is left of such a bucket
+is cut into blocks of about `BLOCK`, and every two blocks with members of different components meet: no pair that shares a
+band is left out, however many members a bucket has. The work on a crowd that is similar but not linked grows
+with its square, inside the tasks; the rows that are shuffled grow with its square over `BLOCK`.
 
 A pair is verified in steps: batches of the signature are compared, and after each one the pair is dropped when
 the posterior probability that its similarity reaches the threshold (uniform prior) is
@@ -33,13 +38,17 @@ from pyspark.sql import functions as F
 
 from tillfloor.llm.common import by_document, shingle_hashes, stage, text_rows, word_hashes
 from tillfloor.llm.components import components
+from tillfloor.session import Scratch
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 #: Chance that a pair at the threshold is dropped by one batch bound.
 MISS = 1e-6
-CENTERS = 32
+#: Members of a bucket that meet in one run of rows, and rounds of centres for buckets that have more.
+BLOCK, STARS = 512, 3
+#: Pairs that a task compares at once.
+PAIRS = 1 << 17
 
 
 def lower_ascii(text: bytes) -> bytes:
@@ -79,7 +88,7 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature_function(k: int):
-    """The function of one text: set size, set digest, signature, band keys."""
+    """The function of one text: set size, set digest, one byte of each minimum, band keys."""
 
     def of():
         odd, shift = _factors()
@@ -98,7 +107,8 @@ def signature_function(k: int):
             for i in range(ROWS):
                 key = (key ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            return len(own), digest_of(own), least.tobytes(), key.astype(np.int64).tolist()
+            short = (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+            return len(own), digest_of(own), short.tobytes(), key.astype(np.int64).tolist()
 
         return each
 
@@ -118,154 +128,277 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
+def _alive(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of two signature arrays that no batch bound drops, and their matches.
+
+    Different minima share their byte once in 256 times, which only lets more pairs through.
+    """
+    alive = np.arange(len(a))
+    matches = np.zeros(len(a), np.int64)
+    for n, need in bounds:
+        part = slice(n - BATCH, n)
+        matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
+        alive = alive[matches[alive] >= need]
+    return alive, matches[alive]
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
 def _pruned(threshold: float, miss: float):
     bounds = least_matches(threshold, miss)
 
     def run(batches):
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3)
-            )
-            alive = np.arange(batch.num_rows)
-            matches = np.zeros(batch.num_rows, np.int64)
-            for n, need in bounds:
-                part = slice(n - BATCH, n)
-                matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= need]
+            alive, _ = _alive(_signatures(batch.column(2)), _signatures(batch.column(3)), bounds)
             yield batch.select([0, 1]).take(pa.array(alive))
 
     return run
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _set_of(column: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), np.uint64)
+
+
 def _confirmed(threshold: float):
     percent = round(100 * threshold)
 
     def run(batches):
         for batch in batches:
-            keep = []
             a, b = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows) if _reaches(_set_of(a, i), _set_of(b, i), percent)]
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
+def _runs(batches):
+    """Batches cut so that no run of equal keys (the first column, sorted) is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        first = int(np.searchsorted(keys, keys[-1]))  # where the last run begins
+        if held and held[-1].column(0)[0].as_py() != keys[0]:
+            yield _joined(held)
+            held = []
+        if first:
+            yield _joined([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+#: Rows that meet: key of the run, side (-1: all meet, else 0 meets 1), band, node, its component, set size, signature.
+MEET = "key long, side int, band int, node long, at long, n long, signature binary"
+
+
+def _survivors(batch: pa.RecordBatch, bounds: list[tuple[int, int]], percent: int):
+    """(i, j, matches): rows of one run, in different components, that may be linked and first share this run's band."""
+    key, side, band, at, n = (batch.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
+    signature = _signatures(batch.column(6))
+    words = signature.view(np.uint32)  # ROWS minima are one word: a band
+    partners = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    ends = np.cumsum(partners)
+    low = 0
+    while low < len(key):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        count = partners[low:high]
+        i = np.repeat(np.arange(low, high), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[low:high] - count - done, count)
+        low = high
+        fit = (at[i] != at[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        first = (words[i] == words[j]).argmax(axis=1) >= band[i]
+        i, j = i[first], j[first]
+        alive, matches = _alive(signature[i], signature[j], bounds)
+        if len(alive):
+            yield i[alive], j[alive], matches
+
+
+def _with_partners(threshold: float, miss: float):
+    """The rows that have a surviving partner in their run."""
+    bounds, percent = least_matches(threshold, miss), round(100 * threshold)
+
+    def run(batches):
+        for batch in _runs(batches):
+            keep = np.zeros(batch.num_rows, bool)
+            for i, j, _ in _survivors(batch, bounds, percent):
+                keep[i] = keep[j] = True
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _linked(threshold: float, miss: float):
+    """(a, b) of the confirmed pairs of each run, but for those that earlier ones have joined; likely ones first."""
+    bounds, percent = least_matches(threshold, miss), round(100 * threshold)
+
+    def run(batches):
+        for batch in _runs(batches):
+            nodes, at, own = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(7)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:  # noqa: B023
+                    root[x] = root.get(up, up)  # noqa: B023
+                    x = up
+                return x
+
+            out: list[tuple[int, int]] = []
+            for i, j, matches in _survivors(batch, bounds, percent):
+                for k in np.argsort(-matches, kind="stable"):
+                    x, y = find(at[i[k]]), find(at[j[k]])
+                    if x != y and _reaches(_set_of(own, int(i[k])), _set_of(own, int(j[k])), percent):
+                        root[max(x, y)] = min(x, y)
+                        out.append((nodes[i[k]], nodes[j[k]]))
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
 
 
-def verified_links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the threshold; texts are (doc_id, text) of the nodes."""
-    # everything a join below reads is written first and cut to the nodes in question, so
-    # that Spark sees how small it is, and no round shuffles all signatures or all texts
-    pairs = stage(pairs)
-    ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sig = stage(nodes.select("node", "signature").join(ends, "node"))
-    both = (
-        pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a")
-        .join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
-        .select("a", "b", "sa", "sb")
-    )
-    alive = stage(both.mapInArrow(_pruned(threshold, miss), "a long, b long"))
-    ends = stage(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct())
-    marks = nodes.select(F.col("node").alias("doc_id"), F.xxhash64("digest").alias("mark"))
-    wanted = stage(marks.join(ends.withColumnRenamed("node", "doc_id"), "doc_id"))
-    sets = texts.join(wanted, "doc_id").select("doc_id", "text", "mark")
-    sets = sets.mapInArrow(_sets(k), "doc_id long, mark long, digest string, own binary")
-    # an id may have other texts
-    sets = stage(sets.filter(F.xxhash64("digest") == F.col("mark")).select("doc_id", "own"))
-    full = (
-        alive.join(sets.withColumnsRenamed({"doc_id": "b", "own": "ob"}), "b")
-        .join(sets.withColumnsRenamed({"doc_id": "a", "own": "oa"}), "a")
-        .select("a", "b", "oa", "ob")
-    )
-    return stage(full.mapInArrow(_confirmed(threshold), "a long, b long"))
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, own): the sets of these nodes, from the texts they stand for."""
+    marks = nodes.select("node", F.xxhash64("digest").alias("mark")).join(wanted, "node")
+    rows = texts.join(marks.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "mark")
+    sets = rows.mapInArrow(_sets(k), "doc_id long, mark long, digest string, own binary")
+    # an id may have other texts, or the same one in several rows
+    return sets.filter(F.xxhash64("digest") == F.col("mark")).select(F.col("doc_id").alias("node"), "own").dropDuplicates(["node"])
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Members of the buckets that have two or more."""
-    several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return members.join(several, "bucket")
+def _in_components(members: DataFrame, of_node: DataFrame | None) -> DataFrame:
+    if of_node is None:
+        return members.withColumn("at", F.col("node"))
+    return members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
 
 
-def _refined(members: DataFrame, of_node: DataFrame, bands: DataFrame) -> DataFrame:
-    """Members of buckets that still hold two components, by one further shared band each.
+def _open(at: DataFrame) -> DataFrame:
+    """Members of the buckets that hold two components."""
+    open_ = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
+    return at.join(open_.select("bucket"), "bucket")
 
-    A pair at the threshold that shares some bands shares another with probability
-    1 - (1 - 0.8^4)^(BANDS - 1) or so; pairs far below it are parted.
-    """
-    at = members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node"))
-    mixed = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
-    left = stage(members.join(mixed.select("bucket"), "bucket"))
-    own = bands.join(left.select("node").distinct(), "node", "left_semi")
-    # few rows come in and BANDS times as many go out: dealt to all tasks, whatever their size
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    further = left.repartition(n, "node").join(own, "node").filter(~F.array_contains("bucket", F.col("band")))
-    split = further.select("node", F.array_sort(F.concat("bucket", F.array("band"))).alias("bucket")).distinct()
-    return _shared(stage(split))
+
+def _star(large: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
+    """(a, b, signatures): each member and the centre it shares most of its large buckets with."""
+    centre = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "at")).alias("c"))
+    met = large.join(centre.select("bucket", "c.node", "c.at").toDF("bucket", "a", "ca"), "bucket").filter("ca != at")
+    shared = met.groupBy("node", "a").agg(F.count("*").alias("times"))
+    pairs = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("times", "a")).alias("x")).select("x.a", "b")
+    sig = nodes.select("node", "n", "signature")
+    return (
+        pairs.join(sig.toDF("a", "na", "sa"), "a")
+        .join(sig.toDF("b", "nb", "sb"), "b")
+        .select("a", "b", "sa", "sb", "na", "nb")
+    )
+
+
+def _meetings(open_: DataFrame, large: bool) -> DataFrame:
+    """key, side, band, node and at of every row that meets others: buckets as they are, or in blocks by two."""
+    small = open_.select(F.col("bucket").alias("key"), F.lit(-1).alias("side"), "band", "node", "at")
+    if not large:
+        return small
+    # a component of more than a block has blocks of its own, which do not meet each other
+    of_at = open_.filter(F.col("m") > BLOCK).groupBy("bucket", "at").agg(F.count("*").alias("c"))
+    of_bucket = of_at.groupBy("bucket").agg(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("rest"))
+    named = of_at.join(of_bucket, "bucket").select(
+        "bucket", "at", "c", F.when(F.col("c") > BLOCK, F.col("at")).alias("own"),
+        F.ceil(F.when(F.col("c") > BLOCK, F.col("c")).otherwise(F.col("rest")) / BLOCK).alias("slots"),
+    )
+    placed = open_.join(named, ["bucket", "at"]).select(
+        "bucket", "band", "node", "at", "own",
+        F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("at")).otherwise(F.col("node"))), "slots").alias("slot"),
+    )
+    labelled = placed.withColumn("label", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), "slot")).drop("slot")
+    labels = labelled.select("bucket", "label", "own").distinct()
+    x, y = labels.toDF("bucket", "lx", "ox"), labels.toDF("bucket", "ly", "oy")
+    together = x.join(y, "bucket").filter(
+        (F.col("lx") <= F.col("ly")) & ~F.coalesce(F.col("ox") == F.col("oy"), F.lit(False))
+    )
+    same = F.col("lx") == F.col("ly")
+    keyed = together.select("bucket", F.xxhash64("bucket", "lx", "ly").alias("key"), "lx", "ly", same.alias("same"))
+    sides = keyed.select("bucket", "key", F.col("lx").alias("label"), F.when(F.col("same"), -1).otherwise(0).alias("side")).union(
+        keyed.filter(~F.col("same")).select("bucket", "key", "ly", F.lit(1))
+    )
+    blocks = labelled.join(sides, ["bucket", "label"]).select("key", "side", "band", "node", "at")
+    return small.join(of_bucket.select(F.col("bucket").alias("key")), "key", "left_anti").union(blocks)
 
 
 def near_duplicates(
     docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    with Scratch(docs.sparkSession) as scratch:
+        return stage(_near_duplicates(docs, k, threshold, miss, id_col, text_col, scratch.stage))
+
+
+def _near_duplicates(docs: DataFrame, k: int, threshold: float, miss: float, id_col: str, text_col: str, keep) -> DataFrame:
     rows = one_row_each(docs, id_col, text_col)
-    signed = by_document(
+    signed = keep(by_document(
         rows.withColumn("text", F.coalesce("text", F.lit(""))), signature_function(k),
         "n_shingles long, digest string, signature binary, bands array<long>",
-    )
-    signed = stage(signed)
+    ))
     # one set for each id: the smallest digest, an empty set first
-    ids = stage(
-        signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("x")).select("doc_id", "x.*")
-    )
-    reps = stage(ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")))
+    ids = keep(signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("x")).select("doc_id", "x.*"))
+    reps = keep(ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")))
     own = signed.join(reps.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["node"])
-    nodes = stage(own.select("node", "digest", "signature", "bands"))
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    members = stage(_shared(bands.select("node", F.array("band").alias("bucket"))))
+    nodes = keep(own.select("node", "digest", F.col("n_shingles").alias("n"), "signature", "bands"))
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    several = bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    members = keep(bands.join(several, "bucket").select("bucket", "band", "node", "m"))
     links = None
     of_node = None
-    slots = 1
-    while True:
-        at = members.withColumn("at", F.col("node"))
-        if of_node is not None:
-            at = members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-        buckets = at.groupBy("bucket").agg(
-            F.min("at").alias("low"), F.max("at").alias("high"),
-            F.array_distinct(F.array_compact(F.array(
-                *(of(F.when(slot == i, F.col("node"))) for i in range(slots) for of in ((F.min, F.max) if slots > 1 else (F.min,)))
-            ))).alias("centers"),
-        )
-        open_ = stage(buckets.filter("low < high").select("bucket", "centers"))
-        met = stage(at.join(open_, "bucket"))
-        if met.isEmpty():
+    percent = round(100 * threshold)
+    large = members.filter(F.col("m") > BLOCK)
+    some_large = not large.isEmpty()
+    for round_ in range(STARS if some_large else 0):
+        far = keep(_open(_in_components(large, of_node)))
+        if far.isEmpty():
             break
-        compared = met.select("bucket", F.col("node").alias("b"), "at", F.explode("centers").alias("a")).filter("a != b")
-        if of_node is not None:
-            compared = (
-                compared.join(of_node.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
-                .filter(F.coalesce("ca", "a") != F.col("at"))
-            )
-        pairs = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified_links(pairs, nodes, rows, k, threshold, miss)
-        links = found if links is None else stage(links.union(found).distinct())
-        of_node = stage(components(links))
-        rest = met.filter(~F.array_contains("centers", F.col("node"))).select("bucket", "node")
-        # one centre joins a group of copies; what is left then is compared and split
-        members = stage(_refined(rest, of_node, bands)) if slots > 1 else rest
-        slots = CENTERS
-    out = ids.join(reps, "digest", "left")
-    if of_node is not None:
-        out = out.join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", "node", "doc_id"))
-    else:
-        out = out.withColumn("component_id", F.coalesce("node", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        pairs = _star(far, nodes, round_).filter(near_size).select("a", "b", "sa", "sb")
+        alive = keep(pairs.mapInArrow(_pruned(threshold, miss), "a long, b long"))
+        sets = keep(_sets_of(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct(), nodes, rows, k))
+        both = alive.join(sets.toDF("b", "ob"), "b").join(sets.toDF("a", "oa"), "a").select("a", "b", "oa", "ob")
+        found = both.mapInArrow(_confirmed(threshold), "a long, b long")
+        links = keep(found if links is None else found.union(links))
+        of_node = keep(components(links, keep))
+    open_ = _open(_in_components(members, of_node))
+    meeting = _meetings(keep(open_) if some_large else open_, some_large).join(nodes.select("node", "n", "signature"), "node")
+    columns = [x.split()[0] for x in MEET.split(", ")]
+    alive = keep(
+        meeting.select(*columns).repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_with_partners(threshold, miss), MEET)
+    )
+    sets = keep(_sets_of(alive.select("node").distinct(), nodes, rows, k))
+    met = alive.join(sets, "node").select(*columns, "own").repartition("key").sortWithinPartitions("key")
+    found = met.mapInArrow(_linked(threshold, miss), "a long, b long")
+    links = keep(found if links is None else found.union(links))
+    of_node = components(links, keep)
+    out = ids.join(reps, "digest", "left").join(of_node, "node", "left")
+    return out.select(
+        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")
+    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 # DuckDB: every pair of different sets with a shingle in common, then components by closure
