@@ -18,7 +18,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = stage)
     Passes end when no link is left; chains shrink geometrically, stars in one pass. Each pass is
     written by `keep`, which cuts the lineage. Links to oneself and nulls are ignored.
     """
-    edges = keep(_both_ways(links.filter(F.col("a") != F.col("b"))))
+    edges = _both_ways(links.filter(F.col("a") != F.col("b")))
     moved: list[DataFrame] = []
     while not edges.isEmpty():
         down = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
@@ -28,7 +28,7 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = stage)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         renamed = edges.join(left, "a").select("b", "x").distinct().join(right, "b").select("x", "y")
-        edges = keep(_both_ways(renamed.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        edges = keep(_both_ways(renamed.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct())
     if not moved:
         node = links.select(F.col("a").alias("node"), F.col("a").alias("component"))
         return node.limit(0)
@@ -40,4 +40,4 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = stage)
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -10,11 +10,11 @@ bucket with a partner. These rows meet once more with their full sets, where eac
 confirmed unless earlier links of the run have joined it. A pair that shares several bands is tested in
 the first one only, and never if the sizes of its sets rule it out.
 
-Buckets of more than `BLOCK` members first take up to `STARS` rounds of links between each member and one centre of
-its buckets, so that a group of copies is one component after a few pairs a member. What is left of such a bucket
-is cut into blocks of about `BLOCK`, and every two blocks with members of different components meet: no pair that shares a
-band is left out, however many members a bucket has. The work on a crowd that is similar but not linked grows
-with its square, inside the tasks; the rows that are shuffled grow with its square over `BLOCK`.
+A bucket of more than `BLOCK` members is cut into blocks, differently in each band, and first the members of one block meet.
+That joins a group of copies, which share most bands, with linear work. Where such a bucket then still holds several
+components, it is cut into blocks by component and every two blocks meet, but for two of one component: no pair that
+shares a band is left out, however many members a bucket has. The work on a crowd that is similar but not linked
+grows with its square, inside the tasks; the rows that are shuffled grow with its square over `BLOCK`.
 
 A pair is verified in steps: batches of the signature are compared, and after each one the pair is dropped when
 the posterior probability that its similarity reaches the threshold (uniform prior) is
@@ -45,8 +45,8 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: Chance that a pair at the threshold is dropped by one batch bound.
 MISS = 1e-6
-#: Members of a bucket that meet in one run of rows, and rounds of centres for buckets that have more.
-BLOCK, STARS = 512, 3
+#: Members of a bucket that meet in one run of rows; larger buckets are cut.
+BLOCK = 512
 #: Pairs that a task compares at once.
 PAIRS = 1 << 17
 
@@ -146,17 +146,6 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def _pruned(threshold: float, miss: float):
-    bounds = least_matches(threshold, miss)
-
-    def run(batches):
-        for batch in batches:
-            alive, _ = _alive(_signatures(batch.column(2)), _signatures(batch.column(3)), bounds)
-            yield batch.select([0, 1]).take(pa.array(alive))
-
-    return run
-
-
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -166,18 +155,6 @@ def _set_of(column: pa.Array, i: int) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), np.uint64)
 
 
-def _confirmed(threshold: float):
-    percent = round(100 * threshold)
-
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [i for i in range(batch.num_rows) if _reaches(_set_of(a, i), _set_of(b, i), percent)]
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
 def _runs(batches):
     """Batches cut so that no run of equal keys (the first column, sorted) is in two of them."""
     held: list[pa.RecordBatch] = []
@@ -246,12 +223,12 @@ def _with_partners(threshold: float, miss: float):
 
 
 def _linked(threshold: float, miss: float):
-    """(a, b) of the confirmed pairs of each run, but for those that earlier ones have joined; likely ones first."""
+    """The components (a, b) of the confirmed pairs of each run, but for those that earlier ones have joined; likely ones first."""
     bounds, percent = least_matches(threshold, miss), round(100 * threshold)
 
     def run(batches):
         for batch in _runs(batches):
-            nodes, at, own = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(7)
+            at, own = batch.column(4).to_pylist(), batch.column(7)
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -266,7 +243,7 @@ def _linked(threshold: float, miss: float):
                     x, y = find(at[i[k]]), find(at[j[k]])
                     if x != y and _reaches(_set_of(own, int(i[k])), _set_of(own, int(j[k])), percent):
                         root[max(x, y)] = min(x, y)
-                        out.append((nodes[i[k]], nodes[j[k]]))
+                        out.append((at[i[k]], at[j[k]]))
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -278,51 +255,33 @@ def one_row_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
 
 
-def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, own): the sets of these nodes, from the texts they stand for."""
-    marks = nodes.select("node", F.xxhash64("digest").alias("mark")).join(wanted, "node")
+def _links(meeting: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float, miss: float, keep) -> DataFrame:
+    """(a, b): links between the components of the rows (key, side, band, node, at) that meet in a run."""
+    columns = [x.split()[0] for x in MEET.split(", ")]
+    alive = keep(
+        meeting.join(nodes.select("node", "n", "signature"), "node").select(*columns)
+        .repartition("key").sortWithinPartitions("key").mapInArrow(_with_partners(threshold, miss), MEET)
+    )
+    # written first, so that Spark sees how few they are
+    marks = keep(nodes.select("node", F.xxhash64("digest").alias("mark")).join(alive.select("node").distinct(), "node"))
     rows = texts.join(marks.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "mark")
     sets = rows.mapInArrow(_sets(k), "doc_id long, mark long, digest string, own binary")
     # an id may have other texts, or the same one in several rows
-    return sets.filter(F.xxhash64("digest") == F.col("mark")).select(F.col("doc_id").alias("node"), "own").dropDuplicates(["node"])
-
-
-def _in_components(members: DataFrame, of_node: DataFrame | None) -> DataFrame:
-    if of_node is None:
-        return members.withColumn("at", F.col("node"))
-    return members.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
-
-
-def _open(at: DataFrame) -> DataFrame:
-    """Members of the buckets that hold two components."""
-    open_ = at.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
-    return at.join(open_.select("bucket"), "bucket")
-
-
-def _star(large: DataFrame, nodes: DataFrame, round_: int) -> DataFrame:
-    """(a, b, signatures): each member and the centre it shares most of its large buckets with."""
-    centre = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "at")).alias("c"))
-    met = large.join(centre.select("bucket", "c.node", "c.at").toDF("bucket", "a", "ca"), "bucket").filter("ca != at")
-    shared = met.groupBy("node", "a").agg(F.count("*").alias("times"))
-    pairs = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("times", "a")).alias("x")).select("x.a", "b")
-    sig = nodes.select("node", "n", "signature")
-    return (
-        pairs.join(sig.toDF("a", "na", "sa"), "a")
-        .join(sig.toDF("b", "nb", "sb"), "b")
-        .select("a", "b", "sa", "sb", "na", "nb")
-    )
+    sets = sets.filter(F.xxhash64("digest") == F.col("mark")).select(F.col("doc_id").alias("node"), "own")
+    sets = keep(sets.dropDuplicates(["node"]))
+    met = alive.join(sets, "node").select(*columns, "own").repartition("key").sortWithinPartitions("key")
+    return keep(met.mapInArrow(_linked(threshold, miss), "a long, b long"))
 
 
-def _meetings(open_: DataFrame, large: bool) -> DataFrame:
-    """key, side, band, node and at of every row that meets others: buckets as they are, or in blocks by two."""
-    small = open_.select(F.col("bucket").alias("key"), F.lit(-1).alias("side"), "band", "node", "at")
-    if not large:
-        return small
+def _by_component(large: DataFrame) -> DataFrame:
+    """What meets of the large buckets' (bucket, band, node, at): every two blocks with different components."""
+    both = large.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
+    open_ = large.join(both.select("bucket"), "bucket")
     # a component of more than a block has blocks of its own, which do not meet each other
-    of_at = open_.filter(F.col("m") > BLOCK).groupBy("bucket", "at").agg(F.count("*").alias("c"))
+    of_at = open_.groupBy("bucket", "at").agg(F.count("*").alias("c"))
     of_bucket = of_at.groupBy("bucket").agg(F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("rest"))
     named = of_at.join(of_bucket, "bucket").select(
-        "bucket", "at", "c", F.when(F.col("c") > BLOCK, F.col("at")).alias("own"),
+        "bucket", "at", F.when(F.col("c") > BLOCK, F.col("at")).alias("own"),
         F.ceil(F.when(F.col("c") > BLOCK, F.col("c")).otherwise(F.col("rest")) / BLOCK).alias("slots"),
     )
     placed = open_.join(named, ["bucket", "at"]).select(
@@ -340,8 +299,7 @@ def _meetings(open_: DataFrame, large: bool) -> DataFrame:
     sides = keyed.select("bucket", "key", F.col("lx").alias("label"), F.when(F.col("same"), -1).otherwise(0).alias("side")).union(
         keyed.filter(~F.col("same")).select("bucket", "key", "ly", F.lit(1))
     )
-    blocks = labelled.join(sides, ["bucket", "label"]).select("key", "side", "band", "node", "at")
-    return small.join(of_bucket.select(F.col("bucket").alias("key")), "key", "left_anti").union(blocks)
+    return labelled.join(sides, ["bucket", "label"]).select("key", "side", "band", "node", "at")
 
 
 def near_duplicates(
@@ -360,44 +318,26 @@ def _near_duplicates(docs: DataFrame, k: int, threshold: float, miss: float, id_
     ))
     # one set for each id: the smallest digest, an empty set first
     ids = keep(signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("x")).select("doc_id", "x.*"))
-    reps = keep(ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node")))
+    reps = ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     own = signed.join(reps.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["node"])
     nodes = keep(own.select("node", "digest", F.col("n_shingles").alias("n"), "signature", "bands"))
     bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    several = bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    members = keep(bands.join(several, "bucket").select("bucket", "band", "node", "m"))
-    links = None
-    of_node = None
-    percent = round(100 * threshold)
-    large = members.filter(F.col("m") > BLOCK)
-    some_large = not large.isEmpty()
-    for round_ in range(STARS if some_large else 0):
-        far = keep(_open(_in_components(large, of_node)))
-        if far.isEmpty():
-            break
-        near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = _star(far, nodes, round_).filter(near_size).select("a", "b", "sa", "sb")
-        alive = keep(pairs.mapInArrow(_pruned(threshold, miss), "a long, b long"))
-        sets = keep(_sets_of(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct(), nodes, rows, k))
-        both = alive.join(sets.toDF("b", "ob"), "b").join(sets.toDF("a", "oa"), "a").select("a", "b", "oa", "ob")
-        found = both.mapInArrow(_confirmed(threshold), "a long, b long")
-        links = keep(found if links is None else found.union(links))
-        of_node = keep(components(links, keep))
-    open_ = _open(_in_components(members, of_node))
-    meeting = _meetings(keep(open_) if some_large else open_, some_large).join(nodes.select("node", "n", "signature"), "node")
-    columns = [x.split()[0] for x in MEET.split(", ")]
-    alive = keep(
-        meeting.select(*columns).repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_with_partners(threshold, miss), MEET)
+    buckets = keep(bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"))
+    slot = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("m") / BLOCK))
+    first = bands.join(buckets, "bucket").select(
+        F.xxhash64("bucket", slot).alias("key"), F.lit(-1).alias("side"), "band", "node", F.col("node").alias("at")
     )
-    sets = keep(_sets_of(alive.select("node").distinct(), nodes, rows, k))
-    met = alive.join(sets, "node").select(*columns, "own").repartition("key").sortWithinPartitions("key")
-    found = met.mapInArrow(_linked(threshold, miss), "a long, b long")
-    links = keep(found if links is None else found.union(links))
-    of_node = components(links, keep)
-    out = ids.join(reps, "digest", "left").join(of_node, "node", "left")
+    of_node = keep(components(_links(first, nodes, rows, k, threshold, miss, keep), keep))
+    at = nodes.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
+    large = buckets.filter(F.col("m") > BLOCK).select("bucket")
+    if not large.isEmpty():
+        crowded = keep(at.select("node", "at", F.posexplode("bands").alias("band", "bucket")).join(large, "bucket"))
+        further = components(_links(_by_component(crowded), nodes, rows, k, threshold, miss, keep), keep)
+        further = further.withColumnRenamed("node", "at")
+        at = at.join(further, "at", "left").withColumn("at", F.coalesce("component", "at"))
+    out = ids.join(at.select("digest", "at"), "digest", "left")
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("at", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
