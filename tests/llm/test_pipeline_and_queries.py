@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     rows = [(i, " ".join(w), "en", f"s{i % 3 and 1}") for i, w in enumerate(base)]
     rows += [(100 + i, " ".join([*w[:-1], "other"]), "en", "s1") for i, w in enumerate(base[:10])]
     rows += [(200 + i, " ".join(passage + words(rng, 60)), "en", "s0") for i in range(4)]
-    rows += [(i, t, None, None) for i, t in ((300, None), (301, ""), (302, "123 !!"), (6, rows[6][1]), (None, "with no id at all"))]
+    rows += [(i, t, None, None) for i, t in ((300, None), (301, ""), (302, "123 !!"), (6, rows[6][1]), (None, " ".join(words(rng, 80))))]
     path = str(tmp_path_factory.mktemp("tables"))
     docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", "shard", "kept")
     docs.write.parquet(f"{path}/documents.parquet")
@@ -53,6 +53,29 @@ def test_stages(spark, folder):
     assert sorted((r["shard"], r["slot"]) for r in out.collect()) == sorted(sharding.place(i, n, C.SHARDS) for i in range(n))
 
 
+def test_rows_are_judged_by_their_own_text(spark, folder):
+    """Rows of one id with several texts, rows without an id, equal rows and a map column, in every stage."""
+    path, _, rows, passage = folder
+    rng = random.Random(8)
+    held, clean = " ".join(passage + words(rng, 20)), " ".join(words(rng, 60))
+    odd = [(700, clean), (700, "12 34 !!"), (None, "12 34 !!"), (None, held), (None, clean), (701, held), (701, clean + " x"), (702, clean), (702, clean)]
+    full = [(*r, "en", "s", {"k": "v"}) if len(r) == 2 else (*r, {"k": "v"}) for r in odd + rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, extra map<string,string>")
+    mine = lambda d: sorted(((r.doc_id, r.text) for r in d.collect() if (r.doc_id, r.text) in odd), key=str)
+    named = C.with_language(spark, docs, path)
+    assert named.columns == docs.columns and mine(named) == sorted((r for r in odd if "!!" not in r[1]), key=str)
+    free = C.decontaminated(spark, named, path)
+    assert mine(free) == sorted((r for r in odd if "!!" not in r[1] and held not in r[1]), key=str)
+    single = C.deduplicated(spark, free, path)
+    assert mine(single) == sorted([(700, clean), (None, clean)], key=str)
+    several = spark.createDataFrame([(*r, "en", "s", None) for r in ((1, held), (1, clean), (2, None), (2, "a b"))], docs.schema)
+    for _ in range(2):
+        got = {r.doc_id: r.text for r in C.deduplicated(spark, several.repartition(3), path).collect()}
+        own = spark.createDataFrame([(1, held), (1, clean)], "doc_id long, text string")
+        assert got[2] is None and got[1] in (held, clean) and len(got) == 2
+        assert {r.text for r in C.deduplicated(spark, own, path).collect()} == {got[1]}
+
+
 def test_run_is_the_stages(spark, folder):
     path, docs, _, _ = folder
     want = docs

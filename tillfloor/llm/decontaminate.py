@@ -121,7 +121,7 @@ def matches(index: DataFrame, aligned: DataFrame, terms: DataFrame, width: int,
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = 2, share: int = 20) -> DataFrame:
-    """One row for each row of docs: words, words hit, items with occurring windows, items near, contaminated.
+    """One row for each row of docs: its xxhash64(text), words, words hit, items with occurring windows, items near, contaminated.
 
     contaminated: a word is hit and `share` times the hit words reach the words.
     """
@@ -153,7 +153,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
         rows.select("doc_id", *DOC, _word_count(F.col("text")).alias("n_words"))
         .join(seen, list(DOC), "left")
         .select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"),
+            "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"),
             F.coalesce("n_near_items", F.lit(0)).alias("n_near_items"),
         )
     )
@@ -161,8 +161,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack:
 
 
 def _word_count(text: Column) -> Column:
-    """As many words as word_array has; letters A-Z need no lower-casing to be counted."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    """As many words as word_array has."""
+    return F.size(word_array(text)).cast("long")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -155,35 +155,86 @@ def fit(train: DataFrame, centroids: int, sample: int, miss: float = 0.005) -> M
     )
 
 
+def _guesses(texts: list[bytes], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """lang_pred, score and rejected of each text."""
+    if model is None:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    lettered = np.array([has_letter(t) for t in texts])
+    cosines = unit_rows(np.stack([counts_of(t) for t in texts]), model.idf) @ model.means.T
+    best = cosines.argmax(axis=1)
+    score = np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1) * lettered
+    langs = [model.langs[b] if x else "und" for b, x in zip(best, lettered, strict=True)]
+    return langs, score, ~lettered | (score < model.floors[best])
+
+
 def predict(rows: DataFrame, model: Model | None) -> DataFrame:
-    """lang_pred, score and rejected, from the text alone."""
+    """The first column of (any, text), lang_pred, score and rejected, from the text alone."""
+    name, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                lettered = np.array([has_letter(t) for t in texts])
-                if model is None:
-                    langs, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                else:
-                    cosines = unit_rows(np.stack([counts_of(t) for t in texts]), model.idf) @ model.means.T
-                    best = cosines.argmax(axis=1)
-                    score = np.clip(cosines[np.arange(len(texts)), best].astype(float), 0, 1) * lettered
-                    langs = [model.langs[b] if x else "und" for b, x in zip(best, lettered, strict=True)]
-                    out = ~lettered | (score < model.floors[best])
+                langs, score, out = _guesses([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(out)],
-                    names=["doc_id", "lang_pred", "score", "rejected"],
+                    names=[name, "lang_pred", "score", "rejected"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(run, f"`{name}` {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 3, sample: int = 400
+) -> DataFrame:
+    """The rows of docs that are not rejected, whole: each row is judged by its own text, in one pass without a join."""
+    model = fit(training_rows(docs, id_col, text_col, lang_col), centroids, sample)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return predict(rows, model).filter(~F.col("rejected")).select("row.*")
+
+
+def fold(id_col: str, folds: int):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+
+
+def training_rows(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int = 3, held: int = 1
+) -> DataFrame:
+    return (
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+            F.col(lang_col).cast("string").alias("lang"),
+        )
+        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
+    )
+
+
+def identify_languages(
+    docs: DataFrame, centroids: int = 3, sample: int = 400, folds: int = 3, held: int = 1,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected of every row. A row without an id is held out."""
+    model = fit(training_rows(docs, id_col, text_col, lang_col), centroids, sample)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return predict(rows, model).filter(~F.col("rejected")).select("row.*")
 
 
 def fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+def training_rows(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int = 3, held: int = 1
+) -> DataFrame:
+    return (
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+            F.col(lang_col).cast("string").alias("lang"),
+        )
+        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
+    )
+
+
 def identify_languages(
     docs: DataFrame, centroids: int = 3, sample: int = 400, folds: int = 3, held: int = 1,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -196,6 +247,6 @@ def identify_languages(
         )
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held))
     )
-    model = fit(train, centroids, sample)
+    model = fit(training_rows(docs, id_col, text_col, lang_col, folds, held), centroids, sample)
     out = predict(text_rows(docs, id_col, text_col), model)
     return out.withColumn("held_out", F.coalesce(fold("doc_id", folds) == held, F.lit(True)))

@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillfloor.llm.common import by_document, shingle_hashes, stage, text_rows, word_hashes
@@ -115,6 +115,16 @@ def signature_function(k: int):
     return of
 
 
+def set_function(k: int):
+    """The function of one text: its set digest, null for an empty set."""
+
+    def each(text: bytes) -> tuple:
+        own = shingle_set(text, k)
+        return (digest_of(own) if len(own) else None,)
+
+    return lambda: each
+
+
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on) after each batch."""
     out = []
@@ -302,6 +312,19 @@ def _by_component(large: DataFrame) -> DataFrame:
     return labelled.join(sides, ["bucket", "label"]).select("key", "side", "band", "node", "at")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def counting_texts(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, text_hash) of the text that counts for each id of (doc_id, text): that of the smallest set."""
+    hashed = rows.select("doc_id", "text", text_hash(F.col("text")).alias("hash"))
+    texts = hashed.groupBy(F.col("hash").alias("doc_id")).agg(F.first("text").alias("text"))
+    signed = by_document(texts.withColumn("text", F.coalesce("text", F.lit(""))), set_function(k), "digest string")
+    own = hashed.select("doc_id", "hash").join(signed.toDF("hash", "digest"), "hash")
+    return own.groupBy("doc_id").agg(F.min(F.struct("digest", "hash")).alias("x")).select("doc_id", F.col("x.hash").alias("text_hash"))
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
