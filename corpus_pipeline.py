@@ -6,7 +6,8 @@ documents as they came.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tillfloor.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from tillfloor.llm.common import read_table, stage
@@ -15,26 +16,41 @@ SHARDS = 24
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no learned centroid is near enough to go: no letter, or text unlike any language."""
-    gone = language_id.identify_languages(docs).filter("rejected").select("doc_id")
-    return _without(docs, gone)
+    """Documents that no learned centroid is near enough to go: no letter, or text unlike any language.
+
+    Each row is judged by its own text, rows of one id or without an id too.
+    """
+    return language_id.accepted(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, with one row. Rows without an id are kept."""
+    """One document of each group of near duplicates stays, with one row.
+
+    Of an id with several texts, the row of the text that was compared stays; of its rows with this text, the one with
+    the smallest hash of all columns but maps. Rows without an id cannot be named and are kept.
+    """
     gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
-    kept = _without(docs, gone)
-    again = stage(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    kept = docs.join(stage(gone.distinct()), "doc_id", "left_anti").select(docs.columns)
+    again = stage(kept.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return kept
-    one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, again).union(one.select(kept.columns))
+    several = kept.join(again, "doc_id", "left_semi").withColumn("hash_", near_dedup.text_hash(F.col("text")))
+    one = stage(near_dedup.counting_texts(several.select("doc_id", F.col("text").cast("string").alias("text"))))
+    plain = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*plain))
+    best = (
+        several.join(one.toDF("doc_id", "hash_"), ["doc_id", "hash_"], "left_semi")
+        .withColumn("at_", F.row_number().over(order)).filter("at_ = 1")
+    )
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(best.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more are words of benchmark passages go."""
+    """Rows of which a twentieth or more of the words are words of benchmark passages go: each by its own text, with or without an id."""
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), slack=0)
-    return _without(docs, found.filter("contaminated").select("doc_id"))
+    gone = stage(found.filter("contaminated").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (near_dedup.text_hash(F.col("text")) == F.col("hash_"))
+    return docs.join(gone, same, "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +63,6 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, ["doc_id"] + [c for c in docs.columns if c != "doc_id"], SHARDS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for these ids, which are written first, so that Spark knows how many they are."""
-    return docs.join(stage(gone.filter("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)
-
-
 STAGES = [
     ("language_id", with_language),
     ("near_dedup", deduplicated),
