@@ -102,6 +102,8 @@ class Params:
     shift_start_hour: int = 2
     stop_cap: float = 0.85
     achieved_rate: float = 0.88
+    base_scrap_rate: float = 0.04
+    changeover_minutes: float = 9.0
     logged_from_minutes: float = 3.0
     band_edges: tuple[float, float] = (10.0, 30.0)
     round_to_minutes: float = 5.0

@@ -14,6 +14,7 @@ from tillfloor.operators import (
     downtime,
     oee,
     planning,
+    plant,
     product,
     profile,
     sales,
@@ -77,6 +78,25 @@ def _data_checks(star: S.Star) -> DataFrame:
     )
 
 
+def _references(star: dict[str, DataFrame]) -> DataFrame:
+    """Stops and inspections to batches, batches to products and machines, stops to machines."""
+    batch, stop = star["fact_production_batch"], star["fact_downtime"]
+    return plant.references(
+        {
+            "batch": batch.select("batch_id"),
+            "product": star["dim_product"].select("product_id"),
+            "machine": star["dim_machine"].select("machine_id"),
+        },
+        {
+            "stop to batch": (stop, "batch_id", "batch"),
+            "stop to machine": (stop, "machine_id", "machine"),
+            "inspection to batch": (star["fact_quality_inspection"], "batch_id", "batch"),
+            "batch to product": (batch, "product_id", "product"),
+            "batch to machine": (batch, "machine_id", "machine"),
+        },
+    )
+
+
 def _catalog(star: S.Star) -> DataFrame:
     S.register_views(star.tables())
     return checks.star_schema(
@@ -216,6 +236,16 @@ for _name, _build in {
         s.stops.select("downtime_id", "reported_reason_code"),
         "reported_reason_code", "reason_label",
     ),
+    # the planned plant
+    "planned_batch_fact": lambda s: s.planned_batch_fact,
+    "planned_downtime_fact": lambda s: s.planned_downtime_fact,
+    "planned_inspections": lambda s: plant.inspection_fact(s.planned_batch_fact),
+    "planned_balance": lambda s: plant.minute_balance(
+        s.planned_batch_fact, s.planned_downtime_fact
+    ),
+    "planned_oee_daily": lambda s: oee.oee_daily(s.planned_batch_oee),
+    "planned_references": lambda s: _references(s.planned_tables()),
+    "logged_references": lambda s: _references(s.tables()),
     # checks
     "checks_identity": lambda s: checks.identity_checks(s.batch_oee, s.oee_daily),
     "checks_data": _data_checks,

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillfloor.operators import downtime, oee, planning, product, sales
+from tillfloor.operators import downtime, oee, planning, plant, product, sales
 from tillfloor.schemas import STAR_TABLES
 from tillfloor.session import stage
 from tillfloor.sources import tables as T
@@ -116,6 +116,43 @@ class Star:
     def oee_daily(self) -> DataFrame:
         return oee.oee_daily(self.batch_oee)
 
+    @cached_property
+    def planned_batches(self) -> DataFrame:
+        """The scheduled plan, staged: the draw, the cap and the facts read it."""
+        return stage(plant.scheduled_batches(self.dispatched))
+
+    @cached_property
+    def planned_stops(self) -> DataFrame:
+        stops = plant.plant_stops(self.stops, self.planned_batches)
+        return stage(plant.capped_stops(stops, self.planned_batches))
+
+    @cached_property
+    def planned_batch_fact(self) -> DataFrame:
+        return plant.batch_fact(self.planned_batches, self.planned_stops, self.routed)
+
+    @cached_property
+    def planned_downtime_fact(self) -> DataFrame:
+        return plant.downtime_fact(
+            self.planned_stops, self.planned_batches, self.planned_batch_fact
+        )
+
+    @cached_property
+    def planned_batch_oee(self) -> DataFrame:
+        """OEE of the planned plant: its batches join the registered product master."""
+        return oee.batch_oee(
+            self.planned_batch_fact, self.dim_product, self.machines, self.planned_downtime_fact
+        )
+
+    def planned_tables(self) -> dict[str, DataFrame]:
+        """The star whose batches, stops and inspections all come from the plan."""
+        return {
+            "dim_product": self.dim_product,
+            "dim_machine": self.machines,
+            "fact_production_batch": self.planned_batch_fact,
+            "fact_downtime": self.planned_downtime_fact,
+            "fact_quality_inspection": plant.inspection_fact(self.planned_batch_fact),
+        }
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "dim_product": self.dim_product,
