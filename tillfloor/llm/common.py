@@ -34,6 +34,32 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+#: Bits of a filter: its size and the broadcast are 2 MB, however many keys there are.
+FILTER_BITS = 24
+
+
+def likely(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose column may be among the keys: all that are, and some that are not.
+
+    A bitmap of hashed keys of fixed size is broadcast, so that a join that follows shuffles few other rows. With
+    more keys than bits it lets most rows through, and costs no more.
+    """
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << FILTER_BITS))
+
+    key = keys.columns[0]
+    bitmaps = keys.select(place(key).alias("place_")).groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place_")).alias("bits_")
+    )
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("bits_", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    return (
+        df.withColumn("part_", F.bitmap_bucket_number(place(column)))
+        .join(F.broadcast(bitmaps), "part_").filter(held).select(df.columns)
+    )
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text alone, so that no other column of the input can clash with a result."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

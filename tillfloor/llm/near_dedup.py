@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillfloor.llm.common import by_document, shingle_hashes, stage, text_rows, word_hashes
+from tillfloor.llm.common import by_document, likely, shingle_hashes, stage, text_rows, word_hashes
 from tillfloor.llm.components import components
 from tillfloor.session import Scratch
 
@@ -274,11 +274,15 @@ def _links(meeting: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, thres
     )
     # written first, so that Spark sees how few they are
     marks = keep(nodes.select("node", F.xxhash64("digest").alias("mark")).join(alive.select("node").distinct(), "node"))
-    rows = texts.join(marks.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "mark")
+    # texts are cut to the nodes in question before they are shuffled; a text that an id has several times counts once
+    few = likely(texts, "doc_id", marks.select("node"))
+    rows = (
+        few.join(marks.withColumnRenamed("node", "doc_id"), "doc_id")
+        .withColumn("hash", text_hash(F.col("text"))).dropDuplicates(["doc_id", "hash"]).select("doc_id", "text", "mark")
+    )
     sets = rows.mapInArrow(_sets(k), "doc_id long, mark long, digest string, own binary")
-    # an id may have other texts, or the same one in several rows
-    sets = sets.filter(F.xxhash64("digest") == F.col("mark")).select(F.col("doc_id").alias("node"), "own")
-    sets = keep(sets.dropDuplicates(["node"]))
+    # an id may have other texts
+    sets = keep(sets.filter(F.xxhash64("digest") == F.col("mark")).select(F.col("doc_id").alias("node"), "own"))
     met = alive.join(sets, "node").select(*columns, "own").repartition("key").sortWithinPartitions("key")
     return keep(met.mapInArrow(_linked(threshold, miss), "a long, b long"))
 
@@ -342,7 +346,7 @@ def _near_duplicates(docs: DataFrame, k: int, threshold: float, miss: float, id_
     # one set for each id: the smallest digest, an empty set first
     ids = keep(signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("x")).select("doc_id", "x.*"))
     reps = ids.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    own = signed.join(reps.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["node"])
+    own = signed.join(reps.select(F.col("node").alias("doc_id"), "digest", "node"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     nodes = keep(own.select("node", "digest", F.col("n_shingles").alias("n"), "signature", "bands"))
     bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = keep(bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"))
@@ -351,10 +355,11 @@ def _near_duplicates(docs: DataFrame, k: int, threshold: float, miss: float, id_
         F.xxhash64("bucket", slot).alias("key"), F.lit(-1).alias("side"), "band", "node", F.col("node").alias("at")
     )
     of_node = keep(components(_links(first, nodes, rows, k, threshold, miss, keep), keep))
-    at = nodes.join(of_node, "node", "left").withColumn("at", F.coalesce("component", "node")).drop("component")
+    at = nodes.select("node", "digest").join(of_node, "node", "left").select("node", "digest", F.coalesce("component", "node").alias("at"))
     large = buckets.filter(F.col("m") > BLOCK).select("bucket")
     if not large.isEmpty():
-        crowded = keep(at.select("node", "at", F.posexplode("bands").alias("band", "bucket")).join(large, "bucket"))
+        crowded = bands.join(large, "bucket").join(of_node, "node", "left")
+        crowded = keep(crowded.select("bucket", "band", "node", F.coalesce("component", "node").alias("at")))
         further = components(_links(_by_component(crowded), nodes, rows, k, threshold, miss, keep), keep)
         further = further.withColumnRenamed("node", "at")
         at = at.join(further, "at", "left").withColumn("at", F.coalesce("component", "at"))
