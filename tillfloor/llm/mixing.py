@@ -113,7 +113,7 @@ def mix(
         F.greatest(F.ceil(F.sqrt("docs")), F.lit(1)).alias("blocks_"),
     )
     plan = stage(plan)
-    dealt = rows.join(plan, "source_").withColumn("block_", F.pmod(F.xxhash64("order_", F.lit(5)), F.col("blocks_")))
+    dealt = rows.join(plan, "source_").withColumn("block_", _block())
     # narrow from here: the order needs hashes and counts only; rows with one hash are one run of copies
     light = stage(dealt.groupBy("source_", "block_", "order_").agg(F.sum("tokens_").alias("t"), F.count("*").alias("copies")))
     blocks = light.groupBy("source_", "block_").agg(F.sum("t").alias("t"))
@@ -130,15 +130,39 @@ def mix(
         F.greatest(F.ceil((F.col("part_") - F.col("start_") - F.col("ahead_")) / each), F.lit(0)), F.col("copies")
     )
     more = F.when(F.col("t") > 0, more).otherwise(0)
-    times = placed.select("source_", "order_", (F.col("whole_") * F.col("copies") + more).alias("times_"), "copies").filter("times_ > 0")
-    return _read(rows, stage(times)).select(columns), chosen
-
-
-def _read(rows: DataFrame, times: DataFrame) -> DataFrame:
-    """Each row as often as it is to be read. Rows equal in every column stand for each other."""
-    keys = ["source_", "order_"]
-    out = rows.join(times.filter("copies = 1"), keys)
-    equal = stage(times.filter("copies > 1"))
-    if not equal.isEmpty():
-        out = out.union(rows.join(equal, keys).dropDuplicates(keys))
-    return out.withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("times_").cast("int"))))
+    counted = placed.select("source_", "block_", "order_", "t", "copies", more.cast("long").alias("more_"))
+    # within a block all copies are read again up to some place, at most one run of copies in part, and none behind it
+    split = (F.col("more_") > 0) & (F.col("more_") < F.col("copies"))
+    cuts = stage(counted.groupBy("source_", "block_").agg(
+        F.max(F.when((F.col("t") > 0) & (F.col("more_") == F.col("copies")), F.col("order_"))).alias("again_to_"),
+        F.max(F.when(split, F.struct("order_", "copies", "more_"))).alias("split_"),
+    ))
+    return _read(rows, plan, cuts).select(columns), chosen
+
+
+def _read(rows: DataFrame, plan: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Each row as often as it is to be read: no row is shuffled but for those of a run that is read in part.
+
+    Such rows are equal in every column and stand for each other.
+    """
+    placed = (
+        rows.join(plan.select("source_", "whole_", "blocks_"), "source_")
+        .withColumn("block_", _block())
+        .join(cuts, ["source_", "block_"])
+    )
+    in_part = F.coalesce(F.col("order_") == F.col("split_.order_"), F.lit(False))
+    again = F.coalesce((F.col("tokens_") > 0) & (F.col("order_") <= F.col("again_to_")), F.lit(False))
+    out = placed.filter(~in_part).withColumn("times_", F.col("whole_") + again.cast("int"))
+    if cuts.filter("split_ is not null").isEmpty():
+        return _repeated(out)
+    one = placed.filter(in_part).dropDuplicates(["source_", "block_", "order_"])
+    one = one.withColumn("times_", (F.col("whole_") * F.col("split_.copies") + F.col("split_.more_")).cast("int"))
+    return _repeated(out.union(one))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.filter("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_"))))
+
+
+def _block():
+    return F.pmod(F.xxhash64("order_", F.lit(5)), F.col("blocks_"))
