@@ -92,8 +92,8 @@ def _sum_ratio(numerator: Column, denominator: Column) -> Column:
     return exact_round(ratio(numerator, denominator), 4)
 
 
-def oee_daily(oee: DataFrame) -> DataFrame:
-    """By date and machine. Unrounded sums are divided; rounding comes last."""
+def oee_daily(oee: DataFrame, *more: Column) -> DataFrame:
+    """By date and machine, with further aggregates where a caller asks for them. Unrounded sums are divided; rounding comes last."""
     planned, run = clock_hours("planned_hours"), clock_hours("run_hours")
     earned, good = hours_sum(F.col("earned_hours")), hours_sum(F.col("good_earned_hours"))
     return oee.groupBy("production_date", "machine_id", "machine_name").agg(
@@ -109,21 +109,24 @@ def oee_daily(oee: DataFrame) -> DataFrame:
         _sum_ratio(earned, run).alias("performance"),
         _sum_ratio(good, earned).alias("quality"),
         _sum_ratio(good, planned).alias("oee"),
+        *more,
     )
 
 
-def mean_daily_oee(
-    daily: DataFrame, batches: DataFrame, stops: DataFrame, inspections: DataFrame
-) -> DataFrame:
-    """Mean of the daily OEE beside the row counts of the facts."""
-
-    def rows(df: DataFrame) -> Column:
-        return df.agg(F.count("*").alias("n")).scalar()
+def mean_daily_oee(batch: DataFrame, sampled: Column, stops: DataFrame) -> DataFrame:
+    """Mean of the daily OEE beside the row counts of the facts.
 
-    return daily.agg(exact_round(F.avg("oee"), 4).alias("mean_daily_oee")).select(
-        rows(batches).alias("batches"),
-        rows(stops).alias("downtime_events"),
-        rows(inspections).alias("inspections"),
+    One pass over the batches: they and those that are `sampled` for inspection are counted by day.
+    """
+    daily = oee_daily(batch, F.count_if(sampled).alias("inspections"))
+    return daily.agg(
+        F.coalesce(F.sum("batches"), F.lit(0)).alias("batches"),
+        F.coalesce(F.sum("inspections"), F.lit(0)).alias("inspections"),
+        exact_round(F.avg("oee"), 4).alias("mean_daily_oee"),
+    ).select(
+        "batches",
+        stops.agg(F.count("*").alias("n")).scalar().alias("downtime_events"),
+        "inspections",
         "mean_daily_oee",
     )
 

@@ -335,6 +335,11 @@ def scrap_with_stops(
     )
 
 
+def is_sampled(batch_id: Column, rate: float = PARAMS.inspection_rate) -> Column:
+    """Whether a batch is inspected: its id decides."""
+    return md5_fraction(batch_id) < rate
+
+
 def inspection_sample(batches: DataFrame, rate: float = PARAMS.inspection_rate) -> DataFrame:
     """A repeatable sample of batches with sample size and outcome.
 
@@ -347,7 +352,7 @@ def inspection_sample(batches: DataFrame, rate: float = PARAMS.inspection_rate)
         F.lit(PARAMS.sample_max),
         F.greatest(F.lit(PARAMS.sample_min), F.floor(total / PARAMS.sample_divisor).cast("int")),
     )
-    return batches.where(md5_fraction(F.col("batch_id")) < rate).select(
+    return batches.where(is_sampled(F.col("batch_id"), rate)).select(
         F.concat(F.lit("I"), F.substring("batch_id", 2, 64)).alias("inspection_id"),
         "batch_id",
         "production_date",

@@ -61,9 +61,7 @@ def _rated_batches(star: S.Star) -> DataFrame:
 
 
 def _mean_daily(star: S.Star) -> DataFrame:
-    batches = star.stored_batches
-    daily = oee.oee_daily(oee.batch_oee(batches, star.products, star.machines, star.stops))
-    return oee.mean_daily_oee(daily, batches, star.stops, planning.inspection_sample(batches))
+    return oee.mean_daily_oee(star.batch_oee, planning.is_sampled(F.col("batch_id")), star.stops)
 
 
 def _data_checks(star: S.Star) -> DataFrame:
