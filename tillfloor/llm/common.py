@@ -38,17 +38,18 @@ def word_array(text: Column) -> Column:
 FILTER_BITS = 24
 
 
-def likely(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def likely(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS, placed: bool = False) -> DataFrame:
     """The rows of df whose column may be among the keys: all that are, and some that are not.
 
-    A bitmap of hashed keys of fixed size is broadcast, so that a join that follows shuffles few other rows. With
-    more keys than bits it lets most rows through, and costs no more.
+    A bitmap of hashed keys of fixed size (2 ** bits) is broadcast, so that a join that follows shuffles few other rows. With
+    more keys than bits it lets most rows through, and costs no more. Keys may be given as their places in the bitmap.
     """
     def place(name: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << FILTER_BITS))
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(1 << bits))
 
     key = keys.columns[0]
-    bitmaps = keys.select(place(key).alias("place_")).groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(
+    places = keys.select((F.col(key) if placed else place(key)).alias("place_"))
+    bitmaps = places.groupBy(F.bitmap_bucket_number("place_").alias("part_")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place_")).alias("bits_")
     )
     at = F.bitmap_bit_position(place(column))
