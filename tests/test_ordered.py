@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillfloor.functions import exact_quantiles, global_ranks
-from tillfloor.functions.ordered import running_share, total_before
+from tillfloor.functions.ordered import even_blocks, running_share, total_before
 from tillfloor.session import stage
 
 
@@ -84,3 +84,12 @@ def test_quantiles_are_exact(rows):
     assert got["count"] == len(values) and got["max"] == values[-1]
     assert got["mean"] == pytest.approx(statistics.mean(values))
     assert got["std"] == pytest.approx(statistics.stdev(values))
+
+
+def test_a_burst_in_one_group_spreads_over_blocks(spark):
+    rows = spark.range(4000).select(F.lit("hot").alias("grp"), F.lit(7).alias("at"), "id", F.lit(1).alias("v"))
+    blocks = even_blocks(rows, ["grp", "at", "id"], "block")
+    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 1500
+    got = total_before(blocks, "v", [F.col("at"), F.col("id")], "before", F.col("block"), within=["grp"])
+    assert got.where("before is distinct from nullif(id, 0)").where("id > 0 or before is not null and before <> 0").count() == 0

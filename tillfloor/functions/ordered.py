@@ -53,6 +53,18 @@ def total_before(
     )
 
 
+def even_blocks(df: DataFrame, order: Sequence[str], out: str = "_block") -> DataFrame:
+    """The rows, staged, with a number that never decreases along `order`, equal in near-equal runs of rows.
+
+    Rows are range partitioned by the whole order, so a group with a third of all rows, or a
+    burst of them at one moment, is cut wherever a block is full; only rows equal in every
+    column of `order` stay together. The numbers are written, hence the same after a retry.
+    """
+    blocks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(blocks, *order)
+    return stage(ranged.withColumn(out, F.spark_partition_id()))
+
+
 def _slices(df: DataFrame, key: str, descending: bool) -> Column:
     """Slice number by near-equal row counts, a slice for each shuffle partition.
 

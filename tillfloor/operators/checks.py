@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillfloor import params as P
 from tillfloor.functions import exact_round, is_sunday, minutes_sum, ratio
+from tillfloor.operators import oee
 
 PARAMS = P.PARAMS
 
@@ -43,12 +44,11 @@ def _differs(tolerance: float) -> Column:
     return F.abs(product - F.col("oee")) > tolerance
 
 
-def identity_checks(oee: DataFrame, daily: DataFrame) -> DataFrame:
+def identity_checks(batch_oee: DataFrame, daily: DataFrame) -> DataFrame:
     """The OEE terms multiply to OEE, at batch grain and after the roll-up."""
-    terms = ("availability", "performance", "quality", "oee")
-    missing = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in terms])
+    missing = reduce(lambda a, b: a | b, [F.col(t).isNull() for t in oee.TERMS])
     return _union([
-        _counts(oee, "identity", {
+        _counts(batch_oee, "identity", {
             "terms multiply to OEE at batch grain": _differs(1e-6),
             "no OEE term is NULL": missing,
         }),
@@ -56,76 +56,83 @@ def identity_checks(oee: DataFrame, daily: DataFrame) -> DataFrame:
     ])
 
 
-def batch_checks(batches: DataFrame) -> DataFrame:
+def _batch_rules() -> dict[str, Column]:
     run, planned = F.col("run_time_minutes"), F.col("planned_production_minutes")
-    return _counts(batches, "data", {
+    return {
         "run time positive and within planned": (run <= 0) | (run > planned + 1e-6),
         "no production on a Sunday": is_sunday(F.col("production_date")),
         "scrap not negative and good units positive":
             (F.col("scrap_units") < 0) | (F.col("good_units") <= 0),
-    })
+    }
 
 
-def oee_checks(oee: DataFrame) -> DataFrame:
-    a, p, q = F.col("availability"), F.col("performance"), F.col("quality")
-    return _counts(oee, "data", {
+def _oee_rules(terms: dict[str, Column]) -> dict[str, Column]:
+    a, p, q = terms["availability"], terms["performance"], terms["quality"]
+    return {
         "performance within 1": p > 1.0,
         "every OEE term inside (0, 1]": (a > 1.0) | (q > 1.0) | (a <= 0) | (q <= 0) | (p <= 0),
-    })
+    }
 
 
-def stop_checks(batches: DataFrame, stops: DataFrame) -> DataFrame:
-    """Stops reconcile with planned minus run, and every stop has its batch.
+def batch_checks(batches: DataFrame) -> DataFrame:
+    return _counts(batches, "data", _batch_rules())
 
-    Stops are summed to batches first, then one full outer join answers both.
-    """
-    totals = stops.groupBy("batch_id").agg(
-        minutes_sum(F.col("duration_minutes")).cast("double").alias("stopped"), F.count("*").alias("stops")
-    )
-    gaps = batches.select(
-        F.col("batch_id"),
-        (F.col("planned_production_minutes") - F.col("run_time_minutes")).alias("gap"),
-        F.lit(True).alias("known"),
-    )
-    joined = gaps.join(totals, "batch_id", "full_outer")
-    off = F.abs(F.col("gap") - F.coalesce(F.col("stopped"), F.lit(0.0))) > 0.05
-    orphans = F.sum(F.when(F.col("known").isNull(), F.col("stops")))
-    return _rows(
-        joined.agg(
-            F.count_if(F.col("known") & off).alias("run time plus stops equals planned"),
-            orphans.alias("no orphan stops"),
-        ),
-        "data",
-    )
 
+def oee_checks(batch_oee: DataFrame) -> DataFrame:
+    return _counts(batch_oee, "data", _oee_rules({c: F.col(c) for c in oee.TERMS}))
 
-def routing_checks(batches: DataFrame, products: DataFrame) -> DataFrame:
-    """Every batch has its product, and runs where the product is routed.
 
-    Batches are counted by product and machine before the join, so a product
-    with a third of all batches is a few rows.
+def fact_checks(
+    batches: DataFrame,
+    stops: DataFrame,
+    inspections: DataFrame,
+    products: DataFrame,
+    machines: DataFrame | None = None,
+) -> DataFrame:
+    """Every check of the three facts in one aggregate over one join, each fact read once.
+
+    Stops and inspections are counted by batch before they meet the batches in full outer
+    joins by the same key; a row without a batch is an orphan. Where machines are given, the OEE
+    terms are checked too, for batches whose product and machine are known.
     """
-    runs = batches.groupBy("product_id", "machine_id").agg(F.count("*").alias("n"))
+    stopped = stops.groupBy("batch_id").agg(
+        minutes_sum(F.col("duration_minutes")).cast("double").alias("stopped"), F.count("*").alias("stops")
+    )
+    seen = inspections.groupBy("batch_id").agg(F.count("*").alias("inspected"))
     routes = products.select(
-        "product_id", F.col("machine_id").alias("routed"), F.lit(True).alias("known")
+        "product_id", "ideal_units_per_hr", F.col("machine_id").alias("routed"), F.lit(True).alias("is_product")
+    )
+    joined = (
+        batches.select(
+            "batch_id", "product_id", "machine_id", "production_date", "planned_production_minutes",
+            "run_time_minutes", "good_units", "scrap_units", F.lit(True).alias("is_batch"),
+        )
+        .join(stopped, "batch_id", "full_outer").join(seen, "batch_id", "full_outer")
+        .join(routes, "product_id", "left")
     )
-    joined = runs.join(routes, "product_id", "left")
+    known, product_known = F.col("is_batch").isNotNull(), F.col("is_product").isNotNull()
+    gap = F.col("planned_production_minutes") - F.col("run_time_minutes")
+    rules = {name: known & rule for name, rule in _batch_rules().items()}
+    rules["run time plus stops equals planned"] = (
+        known & (F.abs(gap - F.coalesce(F.col("stopped"), F.lit(0.0))) > 0.05)
+    )
+    rules["no orphan batches"] = known & ~product_known
+    rules["batch machine matches the routing"] = product_known & (F.col("machine_id") != F.col("routed"))
+    if machines is not None:
+        plant = machines.select("machine_id", F.lit(True).alias("is_machine"))
+        joined = joined.join(plant, "machine_id", "left")
+        runs = product_known & F.col("is_machine").isNotNull()
+        rules |= {name: runs & rule for name, rule in _oee_rules(oee.terms()).items()}
     return _rows(
         joined.agg(
-            F.sum(F.when(F.col("known").isNull(), F.col("n"))).alias("no orphan batches"),
-            F.sum(F.when(F.col("machine_id") != F.col("routed"), F.col("n")))
-            .alias("batch machine matches the routing"),
+            *[F.count_if(rule).alias(name) for name, rule in rules.items()],
+            F.sum(F.when(~known, F.col("stops"))).alias("no orphan stops"),
+            F.sum(F.when(~known, F.col("inspected"))).alias("no orphan inspections"),
         ),
         "data",
     )
 
 
-def inspection_checks(batches: DataFrame, inspections: DataFrame) -> DataFrame:
-    by_batch = inspections.groupBy("batch_id").agg(F.count("*").alias("n"))
-    orphans = by_batch.join(batches.select("batch_id"), "batch_id", "left_anti")
-    return _rows(orphans.agg(F.sum("n").alias("no orphan inspections")), "data")
-
-
 def demand_checks(plant: DataFrame) -> DataFrame:
     return _counts(plant, "data", {"no Sunday demand left": is_sunday(F.col("production_date"))})
 
@@ -135,15 +142,13 @@ def data_checks(
     stops: DataFrame,
     inspections: DataFrame,
     products: DataFrame,
-    oee: DataFrame,
+    batch_oee: DataFrame,
     plant: DataFrame,
 ) -> DataFrame:
+    """The checks of a stored star, its stored OEE view among them."""
     return _union([
-        oee_checks(oee),
-        batch_checks(batches),
-        stop_checks(batches, stops),
-        routing_checks(batches, products),
-        inspection_checks(batches, inspections),
+        oee_checks(batch_oee),
+        fact_checks(batches, stops, inspections, products),
         demand_checks(plant),
     ])
 

@@ -32,6 +32,22 @@ def logged_stops(stops: DataFrame) -> DataFrame:
     )
 
 
+TERMS = ("availability", "performance", "quality", "oee")
+
+
+def terms() -> dict[str, Column]:
+    """The OEE terms of a batch joined to its product's rate."""
+    good, total = F.col("good_units"), F.col("good_units") + F.col("scrap_units")
+    planned, run = F.col("planned_production_minutes") / 60.0, F.col("run_time_minutes") / 60.0
+    rate = F.col("ideal_units_per_hr")
+    return {
+        "availability": ratio(F.col("run_time_minutes"), F.col("planned_production_minutes")),
+        "performance": ratio(ratio(total, rate), run),
+        "quality": ratio(good, total),
+        "oee": ratio(ratio(good, rate), planned),
+    }
+
+
 def batch_oee(
     batches: DataFrame, products: DataFrame, machines: DataFrame, stops: DataFrame
 ) -> DataFrame:
@@ -74,11 +90,7 @@ def batch_oee(
         F.coalesce(F.col("logged_stop_events"), F.lit(0)).alias("logged_stop_events"),
         earned.alias("earned_hours"),
         good_earned.alias("good_earned_hours"),
-        ratio(F.col("run_time_minutes"), F.col("planned_production_minutes"))
-        .alias("availability"),
-        ratio(earned, run).alias("performance"),
-        ratio(good, total).alias("quality"),
-        ratio(good_earned, planned).alias("oee"),
+        *[term.alias(name) for name, term in terms().items()],
         money(scrap * F.col("unit_cost_eur").cast("double")).alias("scrap_cost_eur"),
     )
 

@@ -22,7 +22,7 @@ from tillfloor.functions import (
     ratio,
 )
 from tillfloor.functions.exprs import md5_fraction
-from tillfloor.functions.ordered import total_before
+from tillfloor.functions.ordered import even_blocks, total_before
 from tillfloor.session import stage
 from tillfloor.sources.inline import reason_table
 
@@ -221,18 +221,14 @@ def stop_intervals(
 
     Laid out of `stop_cap`, no stop ends after its batch.
 
-    The running total is cut into hours of the stop's own time, so one batch
-    with a third of all stops spreads over as many tasks as it has hours.
+    The running total is cut into blocks of near-equal rows along the order, so one batch
+    with a third of all stops, also a burst of them in one hour, spreads over many tasks.
     """
     starts = batches.select("batch_id", F.col("actual_start_ts").alias("batch_start_ts"))
+    blocks = even_blocks(stops, ["batch_id", order, key], "block_")
     laid = total_before(
-        stops,
-        minutes,
-        [F.col(order), F.col(key)],
-        "offset_minutes",
-        F.unix_date(F.to_date(F.col(order))) * 24 + F.hour(F.col(order)),
-        within=["batch_id"],
-    ).join(starts, "batch_id")
+        blocks, minutes, [F.col(order), F.col(key)], "offset_minutes", F.col("block_"), within=["batch_id"],
+    ).drop("block_").join(starts, "batch_id")
     offset = F.col("offset_minutes")
     return laid.withColumn(
         "laid_start_ts", plus_minutes(F.col("batch_start_ts"), offset)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from tillfloor.operators import (
     sales,
 )
 from tillfloor.plans import star as S
-from tillfloor.sources import tables
+from tillfloor.plans import stored
+from tillfloor.session import stage, staging_folder
+from tillfloor.sources import rejects, tables
 from tillfloor.sources.inline import category_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,15 +68,26 @@ def _mean_daily(star: S.Star) -> DataFrame:
 
 
 def _data_checks(star: S.Star) -> DataFrame:
-    batches = star.stored_batches
-    return checks.data_checks(
-        batches,
-        star.stops,
-        planning.inspection_sample(batches),
-        star.products,
-        oee.batch_oee(batches, star.products, star.machines, star.stops),
-        star.plant,
+    facts = checks.fact_checks(
+        star.batches, star.stops, star.inspections, star.products, star.machines
     )
+    return facts.unionByName(checks.demand_checks(star.plant))
+
+
+def _merged_profile(star: S.Star) -> DataFrame:
+    """The lines of each month are profiled apart, half of the months at a time, and merged."""
+    lines = _raw(star).withColumn("ticket_number", F.col("ticket_number").cast("bigint"))
+    month = F.substring("date", 1, 7)
+    even = F.coalesce(F.substring("date", 6, 2).cast("int") % 2 == 0, F.lit(False))
+    halves = [profile.partial_profile(lines.where(half), month) for half in (even, ~even)]
+    return profile.finish_profile(profile.merge_profiles(*halves))
+
+
+def _rejects(star: S.Star) -> DataFrame:
+    folder = f"{staging_folder(star.spark)}/till-{uuid.uuid4().hex}"
+    tables.till_text(star.spark, star.data).write.text(folder)
+    scanned = rejects.scan_with_rejects(star.spark, folder, tables.TILL_LINE, header=False)
+    return rejects.reject_counts(*rejects.split_rejects(stage(scanned), tables.TILL_LINE))
 
 
 def _references(star: dict[str, DataFrame]) -> DataFrame:
@@ -112,6 +126,8 @@ for _name, _build in {
     ),
     "profile_rare_values": lambda s: profile.rare_values(_raw(s, date=False), "article"),
     "profile_describe": lambda s: profile.describe(clean.price_text(_raw(s, date=False)), "unit_price"),
+    "profile_merged": _merged_profile,
+    "load_rejects": _rejects,
     # cleaning
     "clean_price_text": lambda s: clean.price_text(_raw(s, date=False)),
     "clean_sales": lambda s: clean.clean_sales(_raw(s)),
@@ -243,6 +259,7 @@ for _name, _build in {
     ),
     "planned_oee_daily": lambda s: oee.oee_daily(s.planned_batch_oee),
     "planned_references": lambda s: _references(s.planned_tables()),
+    "stored_batch_history": lambda s: stored.batch_history(stored.staged_star(s.planned_tables())),
     "logged_references": lambda s: _references(s.tables()),
     # checks
     "checks_identity": lambda s: checks.identity_checks(s.batch_oee, s.oee_daily),

@@ -95,11 +95,6 @@ class Star:
     def batches(self) -> DataFrame:
         return T.batches(self.spark, self.data)
 
-    @cached_property
-    def stored_batches(self) -> DataFrame:
-        """The batch fact, staged for queries that read it more than once."""
-        return stage(self.batches)
-
     @cached_property
     def stops(self) -> DataFrame:
         return T.stops(self.spark, self.data)

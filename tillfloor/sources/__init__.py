@@ -6,6 +6,7 @@ from tillfloor.sources.sinks import (  # noqa: F401
     current_version,
     publish_if_valid,
     published,
+    read_fact,
     replace_table,
     write_csv,
     write_fact,

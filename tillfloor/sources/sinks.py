@@ -22,11 +22,12 @@ def replace_table(df: DataFrame, path: str) -> None:
 def write_fact(df: DataFrame, table: str, path: str, mode: str = "overwrite") -> None:
     """Write a fact by production date, sorted by its cluster keys.
 
-    Rows are shuffled by date and first cluster key, and AQE splits a date that
+    Declared columns that `df` has not yet are written as NULL. Rows are shuffled by date and first cluster key, and AQE splits a date that
     grows too large, so one busy date is no single task and files stay few.
     """
     keys = schemas.CLUSTER_KEYS[table]
-    ordered = df.select(*schemas.STAR_TABLES[table].names)
+    declared = schemas.STAR_TABLES[table]
+    ordered = add_missing_columns(df, declared).select(*declared.names)
     (
         ordered.hint("rebalance", "production_date", keys[0])
         .sortWithinPartitions("production_date", *keys)
@@ -61,6 +62,24 @@ def add_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def read_fact(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """A stored fact in its declared columns, whatever columns its files were written with.
+
+    The files' schemas are merged first: a column that some or all files lack is NULL there, one
+    that is stored with another type or that is not declared raises.
+    """
+    declared = schemas.STAR_TABLES[table]
+    merged = spark.read.option("mergeSchema", True).parquet(path).schema
+    kinds = {f.name: f.dataType for f in declared}
+    wrong = [
+        f"{f.name} {f.dataType.simpleString()}" for f in merged
+        if f.name != "production_date" and kinds.get(f.name) != f.dataType
+    ]
+    if wrong:
+        raise ValueError(f"{table} does not declare {', '.join(wrong)}")
+    return spark.read.schema(declared).parquet(path).select(*declared.names)
+
+
 # --- versions: nothing that can be read is ever overwritten
 
 POINTER = T.StructType([T.StructField("number", T.LongType()), T.StructField("version", T.StringType())])

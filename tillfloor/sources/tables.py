@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillfloor import params as P
 from tillfloor.functions import half_even, is_sunday, money, plus_minutes
@@ -318,3 +319,33 @@ def stops(spark: SparkSession, data: str) -> DataFrame:
             (~micro).alias("was_logged"),
         )
     )
+
+
+#: A line of the text export: ticket, article, quantity.
+TILL_LINE = T.StructType([
+    T.StructField("ticket_number", T.LongType()),
+    T.StructField("article", T.StringType()),
+    T.StructField("quantity", T.DoubleType()),
+])
+
+
+def till_text(spark: SparkSession, data: str) -> DataFrame:
+    """The till lines as text, with the faults a till makes.
+
+    Every 50th ticket (by remainder) has its number printed with a letter, its quantity written
+    out, its line cut after the article, or a field too many.
+    """
+    lines = raw_sales_lines(spark, data, date=False)
+    ticket = F.col("ticket_number").cast("bigint")
+    rest = ticket % 50
+    number = ticket.cast("string")
+    article = F.concat(F.lit('"'), F.coalesce("article", F.lit("")), F.lit('"'))
+    amount = F.col("Quantity").cast("string")
+    text = (
+        F.when(rest == 7, F.concat_ws(",", F.concat(F.lit("T"), number), article, amount))
+        .when(rest == 11, F.concat_ws(",", number, article, F.lit("two")))
+        .when(rest == 13, F.concat_ws(",", number, article))
+        .when(rest == 17, F.concat_ws(",", number, article, amount, F.lit("x")))
+        .otherwise(F.concat_ws(",", number, article, amount))
+    )
+    return lines.select(text.alias("value"))
