@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import re
 
 import pytest
@@ -102,6 +104,47 @@ def test_matching_statistics_are_the_longest_matches():
     assert automaton.ends[runs[1][2]] == {"b": {3}}
 
 
+def test_a_later_paragraph_alone_names_its_license():
+    of = license_scan.scan()
+    for label, more in license_scan.PARAGRAPHS.items():
+        for text in more:
+            *_, labels, score, spans = of(f"some words before it {text.lower()} and after".encode())
+            assert label in labels.split(",") and score == 1.0, (label, labels)
+            assert "#" in spans
+    # the disclaimers of two licenses share a run, but not half of either
+    assert of(license_scan.PARAGRAPHS["bsd"][1].encode())[5] == "bsd"
+
+
+def plain_chain(runs, max_gap):
+    """The most words that a chain of runs covers, over all subsequences in order; runs are (start, end, end in template)."""
+    best = 0
+    for r in range(1, len(runs) + 1):
+        for pick in itertools.combinations(runs, r):
+            covered, (start, end, at) = pick[0][1] - pick[0][0], pick[0]
+            for s, e, place in pick[1:]:
+                first = place - (e - s)
+                over = max(0, end - s, at - first)
+                if s - end > max_gap or at > first + over or first - at > max_gap or over >= e - s:
+                    break
+                covered, end, at = covered + e - s - over, e, place
+            else:
+                best = max(best, covered)
+    return best
+
+
+def test_chains_cover_as_much_as_any_subsequence():
+    rng = random.Random(4)
+    for _ in range(300):
+        runs, at = [], 0
+        for _ in range(rng.randrange(1, 6)):
+            at += rng.randrange(0, 7)
+            size = rng.randrange(2, 6)
+            runs.append((at, at + size, rng.randrange(size, 30)))
+            at += size
+        found = license_scan.chains([(s, e, {"t": {place}}) for s, e, place in runs], 4)["t"]
+        assert max(n for _, _, n in found) == plain_chain(runs, 4)
+
+
 PERSONAL = [
     (60, "a@b@c.com x.y+z@mail-1.example.org, @no a@b.co_x@y.zz"), (61, "ip 1.2.3.4 999.1.1.1 1.2.3.4.5 001.2.3.4 1.2.3"),
     (62, "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111"), (63, "+1 (415) 555-2671 +33 1 2 3 4 +1--"),
@@ -131,6 +174,47 @@ def plain_personal(text):
     )
 
 
+def test_regions_end_at_white_space():
+    text = "mail jane (at) averyveryverylongname.of-a-company-with-quite-a-name.example.com or call " + "x" * 90 + "7" + "y" * 90 + " end"
+    for low, high in pii.regions(text):
+        assert low == 0 or text[low - 1].isspace()
+        assert high == len(text) or text[high].isspace()
+    assert any(text[a:b].startswith("mail jane") and "example.com" in text[a:b] for a, b in pii.regions(text))
+
+
+def test_decoding_and_gradient_against_enumeration():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for text in ("415-555-2671 x", "a@b.co 1.2.3.4", "(415) 555-2671"):
+        units = pii.units_of(text, 0, len(text))
+        segs = pii.candidates(text, units)
+        weights = rng.normal(0, 1, (len(pii.KINDS), len(pii.FEATURES)))
+        scores = [weights[:, f].sum(axis=1) for _, _, f in segs]
+
+        def ways(at, segs=segs):
+            """All sets of candidates with kinds that do not overlap, from unit `at` on."""
+            yield ()
+            for x, (i, j, _) in enumerate(segs):
+                if i >= at:
+                    for k in range(len(pii.KINDS)):
+                        for rest in ways(j):
+                            yield ((x, k), *rest)
+
+        every = list(ways(0))
+        total = [sum(scores[x][k] for x, k in w) for w in every]
+        best = every[int(np.argmax(total))]
+        want = sorted((units[segs[x][0]][0], k, pii.KINDS[k], units[segs[x][1] - 1][1]) for x, k in best)
+        assert sorted(pii.decode(weights, text, units, segs)) == want
+        z = np.logaddexp.reduce(total)
+        grad = np.zeros_like(weights)
+        for w, s in zip(every, total, strict=True):
+            for x, k in w:
+                for f in segs[x][2]:
+                    grad[k, f] -= np.exp(s - z)
+        assert np.allclose(pii._gradient(weights, len(units), segs, {}), grad)
+
+
 def test_personal_data_against_plain_matching(spark):
     docs = odd_rows() + PERSONAL
     got = pii.pii_spans(frame(spark, docs)).collect()

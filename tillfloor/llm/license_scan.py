@@ -57,6 +57,70 @@ TEMPLATES = {
     " binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+# Further paragraphs of the same licenses, by label: conditions, disclaimers, terms.
+PARAGRAPHS = {
+    "mit": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT"
+        " LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO"
+        " EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER"
+        " IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR"
+        " THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "apache": (
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby"
+        " grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"
+        " to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute"
+        " the Work and such Derivative Works in Source or Object form.",
+        "Disclaimer of Warranty. Unless required by applicable law or agreed to in writing, Licensor provides the"
+        " Work (and each Contributor provides its Contributions) on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR"
+        " CONDITIONS OF ANY KIND, either express or implied, including, without limitation, any warranties or"
+        " conditions of TITLE, NON-INFRINGEMENT, MERCHANTABILITY, or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    "gpl": (
+        "You should have received a copy of the GNU General Public License along with this program. If not, see"
+        " <https://www.gnu.org/licenses/>.",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that"
+        " you conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all"
+        " notices stating that this License and any non-permissive terms added in accord with section 7 apply to the"
+        " code; keep intact all notices of the absence of any warranty; and give all recipients a copy of this"
+        " License along with the Program.",
+    ),
+    "bsd": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED"
+        " WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A"
+        " PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY"
+        " DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,"
+        " PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+        " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING"
+        " NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE"
+        " POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "isc": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"
+        " INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR"
+        " ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF"
+        " USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF"
+        " OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser"
+        " General Public License as published by the Free Software Foundation; either version 2.1 of the License, or"
+        " (at your option) any later version.",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or"
+        " (at your option) any later version.",
+    ),
+    "unlicense": (
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all"
+        " copyright interest in the software to the public domain. We make this dedication for the benefit of the"
+        " public at large and to the detriment of our heirs and successors.",
+    ),
+}
+
 #: Every byte to itself, A-Z to a-z, and ASCII that is no letter or digit to a space.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -172,9 +236,14 @@ def chains(runs: list[tuple[int, int, dict[str, set[int]]]], max_gap: int) -> di
 def scan(
     phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES,
     min_run: int = 4, max_gap: int = 8, min_span: int = 20, coverage: float = 0.5,
+    paragraphs: dict[str, tuple[str, ...]] = PARAGRAPHS,
 ):
-    """The function of one text: n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
+    """The function of one text: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+
+    Every paragraph is a template of its own, named `label` or `label#number`; all name their label.
+    """
     texts = {label: words_of(t.encode()) for label, t in templates.items()}
+    texts |= {f"{label}#{k}": words_of(t.encode()) for label, more in paragraphs.items() for k, t in enumerate(more, 2)}
     automaton = SuffixAutomaton(texts)
     known = {w for words in texts.values() for w in words}
     wanted = defaultdict(list)
@@ -203,7 +272,7 @@ def scan(
                     share = covered / len(texts[label])
                     if (share >= coverage or covered >= min_span) and (share, start, end) > best.get(label, (0, 0, 0)):
                         best[label] = (share, start, end)
-        labels = base_labels | best.keys()
+        labels = base_labels | {name.split("#")[0] for name in best}
         score = max([0.5 if base else 0.0, *(min(1.0, s) for s, _, _ in best.values())])
         starts = [at for at, _ in base]
         return (
