@@ -45,6 +45,7 @@ _SPELLED_AT = re.compile(r"\x20?[(\[]\x20?at\x20?[)\]]\x20?|\x20at\x20", re.I)
 
 MAX_UNITS = 16
 AROUND = 48
+_SPACE = re.compile(r"\s")
 _UNIT = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.S)
 
 
@@ -113,13 +114,22 @@ def units_of(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around the triggers, cut at white space where one is near; none overlap."""
+    """Stretches from `AROUND` characters before a trigger to as many behind it, out to white space; none overlap.
+
+    What has spaces inside has a trigger near its end, which takes the stretch beyond it.
+    """
     out: list[list[int]] = []
     for m in _OPENS.finditer(text):
         at = m.start()
         if out and at < out[-1][1] - AROUND // 2:
             continue
         low, high = max(0, at - AROUND), min(len(text), at + AROUND)
+        while low > 0 and not text[low - 1].isspace():
+            low -= 1
+        if high < len(text) and (gap := _SPACE.search(text, high)):
+            high = gap.start()
+        elif high < len(text):
+            high = len(text)
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -312,7 +322,10 @@ def written_otherwise(text: str, kind: str, turn: int) -> str:
         return text.replace("@", (" at ", " (at) ", "[at]")[turn % 3])
     if kind == "phone":
         tail = digits[-10:]
-        return (f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}")[turn % 3]
+        return (
+            f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}",
+            f"{tail[:3]} {tail[3:6]} {tail[6:]}", f"00{digits[:2]} {digits[2:5]} {digits[5:]}",
+        )[turn % 5]
     if kind == "card":
         return (".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), text)[turn % 2]
     return text
@@ -342,6 +355,7 @@ def examples_of(text: str, most: int = 4) -> list[tuple[str, list[tuple[int, int
 def learn(docs: DataFrame, sample: int = 600) -> np.ndarray:
     """Weights from at most `sample` documents: those with a trigger and the smallest text hash.
 
+    Of each, the first four stretches around triggers are examples, at most 400 characters of each.
     A table without any trigger gives zero weights, which add no span.
     """
     held = docs.filter(F.col("text").rlike("@|[0-9]{3}")).select(
