@@ -6,7 +6,8 @@ stratum (language) and ratio, the cutoff is the lowest one of a fixed grid at
 which, on labelled documents, an exact (Clopper-Pearson) upper bound of the
 share of good documents that it would reject stays within `risk`. All bounds
 hold at once with probability 1 - `miss`: the miss probability is divided by the number
-of strata, ratios and grid points tested. A stratum with too few labels to prove
+of strata and ratios. Grid points need no share of their own: they are tested in a fixed order, from the highest cutoff down,
+until the first that fails, so a wrong one is proven only where the first wrong one is. A stratum with too few labels to prove
 any cutoff rejects nothing beyond the base rules.
 
 Null or empty texts have no words and fail the base rule. A document with a null or
@@ -143,7 +144,7 @@ def thresholds(counted: DataFrame, labels: DataFrame, risk: float = 0.01, miss:
         "stratum", "ratio", "step", F.sum("count").over(from_top).alias("rejected"), F.sum("count").over(whole).alias("n")
     )
     strata = hist.agg(F.count_distinct("stratum")).first()[0]
-    tests = max(1, strata) * len(RATIOS) * GRID
+    tests = max(1, strata) * len(RATIOS)
 
     def cut(frame):
         import pandas as pd
