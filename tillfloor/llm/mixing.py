@@ -32,11 +32,14 @@ STEPS = 40
 
 def token_counts(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
     """source_, tokens_ (words) and the two hashes of the order, beside all columns of docs."""
-    names = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
     return docs.withColumns({
         "source_": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")),
         "tokens_": F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        "order_": F.xxhash64(F.lit(17), *(F.col(f"`{c}`") for c in names)),
+        # 128 bits, so that different rows do not count as copies of each other
+        "order_": F.struct(
+            F.xxhash64(F.lit(17), *hashed).alias("a"), F.xxhash64(F.lit(18), *reversed(hashed)).alias("b")
+        ),
     })
 
 
