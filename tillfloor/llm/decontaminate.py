@@ -196,8 +196,39 @@ with d as (
 ), i as (
   select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items
   from hits group by doc_id
+), item as (
+  select row_number() over () as item, item_id, w, len(w) as n from (select distinct item_id, w from b where len(w) > 0)
+), t as (
+  select item, n, i - 1 as i, w[i] as word from (select item, n, w, unnest(range(1, n + 1)) as i from item)
+), dp as (
+  select doc_id, p - 1 as pos, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)
+  where w[p] in (select word from t)
+), held as (
+  select word, count(*) as postings from (select distinct doc_id, word, pos from dp) group by word
+), win as (
+  select item, first, i, word, coalesce(postings, 0) as postings,
+    row_number() over (partition by item, first order by coalesce(postings, 0), i) as rank
+  from (select item, i, word, unnest(range(greatest(0, i - least(n, 13) + 1), least(i, n - least(n, 13)) + 1)) as first from t)
+  left join held using (word)
+), two as (
+  select distinct a.item, a.i as i1, a.word as w1, coalesce(z.i, a.i) as i2, coalesce(z.word, a.word) as w2
+  from win a left join win z on z.item = a.item and z.first = a.first and z.rank = 2
+  where a.rank = 1 and a.postings > 0
+), laid as (
+  select distinct x.doc_id, two.item, x.pos - i1 as shift
+  from two join dp x on x.word = w1 join dp y on y.doc_id = x.doc_id and y.word = w2 and abs(y.pos - (x.pos - i1 + i2)) <= 2
+), met as (
+  select distinct laid.doc_id, item, shift, i, n
+  from laid join t using (item) join dp on dp.doc_id = laid.doc_id and dp.word = t.word and abs(dp.pos - (shift + i)) <= 2
+), near as (
+  select doc_id, count(distinct item_id) as n_near_items
+  from (select doc_id, item, n, count(*) as run from (
+          select *, i - row_number() over (partition by doc_id, item, shift order by i) as g from met)
+        group by doc_id, item, shift, n, g having count(*) >= least(n, 13))
+  join item using (item) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
-from d left join n using (doc_id) left join i using (doc_id)
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated,
+  coalesce(n_near_items, 0) as n_near_items
+from d left join n using (doc_id) left join i using (doc_id) left join near using (doc_id)
 """

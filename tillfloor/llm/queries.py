@@ -18,7 +18,7 @@ SHARDS = 24
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.digest(found).drop("n_near_items")
+    return decontaminate.digest(found)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
