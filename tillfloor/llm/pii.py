@@ -124,7 +124,8 @@ def regions(text: str) -> list[tuple[int, int]]:
         if out and at < out[-1][1] - AROUND // 2:
             continue
         low, high = max(0, at - AROUND), min(len(text), at + AROUND)
-        while low > 0 and not text[low - 1].isspace():
+        known = out[-1][1] if out else 0
+        while low > known and not text[low - 1].isspace():
             low -= 1
         if high < len(text) and (gap := _SPACE.search(text, high)):
             high = gap.start()
