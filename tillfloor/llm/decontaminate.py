@@ -214,12 +214,16 @@ with d as (
   select distinct a.item, a.i as i1, a.word as w1, coalesce(z.i, a.i) as i2, coalesce(z.word, a.word) as w2
   from win a left join win z on z.item = a.item and z.first = a.first and z.rank = 2
   where a.rank = 1 and a.postings > 0
+), slack as (
+  select unnest(range(-2, 3)) as off
 ), laid as (
   select distinct x.doc_id, two.item, x.pos - i1 as shift
-  from two join dp x on x.word = w1 join dp y on y.doc_id = x.doc_id and y.word = w2 and abs(y.pos - (x.pos - i1 + i2)) <= 2
+  from two join dp x on x.word = w1 cross join slack
+  join dp y on y.doc_id = x.doc_id and y.word = w2 and y.pos = x.pos - i1 + i2 + off
 ), met as (
   select distinct laid.doc_id, item, shift, i, n
-  from laid join t using (item) join dp on dp.doc_id = laid.doc_id and dp.word = t.word and abs(dp.pos - (shift + i)) <= 2
+  from laid join t using (item) cross join slack
+  join dp on dp.doc_id = laid.doc_id and dp.word = t.word and dp.pos = shift + i + off
 ), near as (
   select doc_id, count(distinct item_id) as n_near_items
   from (select doc_id, item, n, count(*) as run from (
